@@ -81,7 +81,7 @@ def drop_scratch(df: DataFrame) -> None:
     remove(df.sparkSession, df._scratch_path)  # type: ignore[attr-defined]
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Hint a broadcast only when the counted rows are within limit; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
 
