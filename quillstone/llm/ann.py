@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
+from .workers import tidy
 
 SAMPLE = 20_000
 LIST = 128
@@ -227,8 +228,8 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
         return run
 
     schema = "list int, vec_id long, embedding array<double>"
-    postings = materialize(rows.mapInArrow(place(False), schema), "postings")
-    probes = materialize(queries.mapInArrow(place(True), schema), "probes")
+    postings = materialize(rows.mapInArrow(tidy(place(False)), schema), "postings")
+    probes = materialize(queries.mapInArrow(tidy(place(True)), schema), "probes")
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(
         probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")), "list")
     sizes = F.broadcast(materialize(sizes, "list-sizes"))  # a row for each list: MAX_LISTS at most
@@ -266,7 +267,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
                     got = _batch(list(_nearest(q, q_ids, _matrix(piece.column("embedding")), piece.column("vec_id").to_numpy(), top)), q_ids)
                     yield pa.RecordBatch.from_pandas(got, preserve_index=False)
 
-        more = rows.mapInArrow(scan, _FOUND)
+        more = rows.mapInArrow(tidy(scan), _FOUND)
         found = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)

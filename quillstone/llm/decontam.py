@@ -13,15 +13,17 @@ kept (clean). Benchmarks of more than SHARD_WORDS words become several automata,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..runtime import ship
 from .words import WORD_TABLE, iter_words, mix, words_of
+from .workers import tidy, with_texts
 
 WINDOW = 13
 COVERAGE = 0.05
@@ -198,46 +200,50 @@ def _load(spark, benchmark: DataFrame, window: int) -> list:
 
 
 _HIT = "array<struct<s:int,e:int,bs:int,be:int>>"
+_STATE = ("_n_words", "_items", "_longest", "_hits")
+Finish = Callable[[pa.RecordBatch, list[int], list[list[str]], list[int], list[list[dict]]], pa.RecordBatch]
 
 
-def _spans(docs: DataFrame, benchmark: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """docs with _n_words, _items, _longest and _hits: word spans [s, e) and byte spans [bs, be) that are hit."""
+def _through(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish, schema: str | StructType) -> DataFrame:
+    """docs through every shard's automaton; the last pass ends with finish.
+
+    finish gets a batch of docs and, for each row, its words, items, longest match and hits: word spans [s, e) and byte
+    spans [bs, be). Between shards these travel as columns beside the documents, so there is no shuffle.
+    """
     spark = docs.sparkSession
     ship(spark)
-    df = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<string>").alias("_items"), F.lit(0).alias("_longest"), F.array().cast(_HIT).alias("_hits"))
-    matchers = _load(spark, benchmark, window)
-    for k, shared in enumerate(matchers):
-        out = df.schema.names if keep_text or k + 1 < len(matchers) else [x for x in df.schema.names if x != "text"]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, out=out) -> Iterator[pa.RecordBatch]:
+    df, names = docs, docs.columns
+    shards = _load(spark, benchmark, window)
+    for k, shared in enumerate(shards):
+        if k == 0 and len(shards) > 1:
+            df = df.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<string>").alias("_items"), F.lit(0).alias("_longest"), F.array().cast(_HIT).alias("_hits"))
+        last = k + 1 == len(shards)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             matcher = shared.value
             for batch in batches:
-                names = batch.schema.names
-                column = batch.column(names.index("text"))
                 n = batch.num_rows
+                between = batch.schema.names[-1] == "_hits"
+                items, longest, hits = (batch.column(c).to_pylist() for c in _STATE[1:]) if between else ([[] for _ in range(n)], [0] * n, [[] for _ in range(n)])
                 counts = np.zeros(n, np.int64)
-                found: dict[int, tuple[list, set[str], int]] = {}
-                for w in iter_words(column):
+                for w in iter_words(batch.column(batch.schema.names.index("text"))):
                     counts[w.first : w.last] = np.diff(w.doc)
                     for d, a, b in matcher.runs(w.hashes, w.doc):
-                        text = w.data
-                        words = [bytes(text[s:e]).translate(WORD_TABLE) for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]
-                        spans, items, longest = matcher.automaton.stream(words)
-                        base, zero = int(w.offsets[w.first + d]), int(w.doc[d])
-                        old = found.setdefault(w.first + d, ([], set(), 0))
-                        old[0].extend({"s": a + s - zero, "e": a + e - zero, "bs": int(w.starts[a + s]) - base, "be": int(w.ends[a + e - 1]) - base} for s, e in spans)
-                        found[w.first + d] = (old[0], old[1] | items, max(old[2], longest))
-                was_items = batch.column(names.index("_items")).to_pylist()
-                was_hits = batch.column(names.index("_hits")).to_pylist()
-                was_longest = batch.column(names.index("_longest")).to_pylist()
-                for d, (spans, items, longest) in found.items():
-                    was_items[d] = was_items[d] + sorted(items)
-                    was_hits[d] = was_hits[d] + spans
-                    was_longest[d] = max(was_longest[d], longest)
-                new = {"_n_words": pa.array(counts), "_items": pa.array(was_items, batch.schema.field("_items").type), "_longest": pa.array(was_longest, pa.int32()), "_hits": pa.array(was_hits, batch.schema.field("_hits").type)}
-                yield pa.RecordBatch.from_arrays([new.get(x, batch.column(names.index(x))) for x in out], schema=pa.schema([batch.schema.field(x) for x in out]))
-
-        df = df.mapInArrow(run, df.select(*out).schema)
+                        words = [bytes(w.data[s:e]).translate(WORD_TABLE) for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]
+                        spans, found, most = matcher.automaton.stream(words)
+                        row, zero = w.first + d, int(w.doc[d])
+                        base = int(w.offsets[row])
+                        hits[row] += [{"s": a + s - zero, "e": a + e - zero, "bs": int(w.starts[a + s]) - base, "be": int(w.ends[a + e - 1]) - base} for s, e in spans]
+                        items[row] = sorted({*items[row], *found})
+                        longest[row] = max(longest[row], most)
+                own = batch.select(names)
+                if last:
+                    yield finish(own, counts.tolist(), items, longest, hits)
+                else:
+                    types = [batch.schema.field(c).type for c in _STATE]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(v, t) for v, t in zip((counts, items, longest, hits), types, strict=True))], schema=batch.schema)
+
+        df = df.mapInArrow(tidy(run), schema if last else df.schema)
     return df
 
 
@@ -256,66 +262,48 @@ def evaluate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covera
 
     contaminated: hit words are at least coverage of all words (and not none).
     """
-    spans = _spans(docs.select("doc_id", "text"), benchmark, window, keep_text=False)
     kind = docs.schema["doc_id"].dataType.simpleString()
     per = round(coverage * 1_000_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column("_hits").to_pylist()
-            n_words = batch.column("_n_words").to_pylist()
-            items = [sorted(set(x)) for x in batch.column("_items").to_pylist()]
-            n_hit = [sum(b - a for a, b in merge(h, "s", "e")) if h else 0 for h in hits]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_hit": pa.array(n_hit, pa.int64()),
-                "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                "contaminated": pa.array([h > 0 and h * 1_000_000 >= per * n for h, n in zip(n_hit, n_words, strict=True)]),
-                "items": pa.array(items, pa.list_(pa.string())),
-                "longest_match": batch.column("_longest"),
-            })
-
-    return spans.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_match int")
+    def finish(batch: pa.RecordBatch, n_words: list[int], items: list[list[str]], longest: list[int], hits: list[list[dict]]) -> pa.RecordBatch:
+        n_hit = [sum(b - a for a, b in merge(h, "s", "e")) if h else 0 for h in hits]
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_hit": pa.array(n_hit, pa.int64()),
+            "n_items": pa.array([len(x) for x in items], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
+            "contaminated": pa.array([h > 0 and h * 1_000_000 >= per * n for h, n in zip(n_hit, n_words, strict=True)]),
+            "items": pa.array(items, pa.list_(pa.string())),
+            "longest_match": pa.array(longest, pa.int32()),
+        })
+
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_match int"
+    return _through(docs.select("doc_id", "text"), benchmark, window, finish, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs without contaminated documents; from the others the hit spans are cut. n_chars, if there, follows the text."""
-    spans = _spans(docs, benchmark, window, keep_text=True)
     per = round(coverage * 1_000_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column("_hits").to_pylist()
-            if not any(hits):
-                yield batch
+    def finish(batch: pa.RecordBatch, n_words: list[int], items: list[list[str]], longest: list[int], hits: list[list[dict]]) -> pa.RecordBatch:
+        if not any(hits):
+            return batch
+        keep = [True] * batch.num_rows
+        column = batch.column("text")
+        changed: dict[int, str] = {}
+        for i, h in enumerate(hits):
+            if not h:
+                continue
+            if sum(b - a for a, b in merge(h, "s", "e")) * 1_000_000 >= per * n_words[i]:
+                keep[i] = False
                 continue
-            n_words = batch.column("_n_words").to_pylist()
-            keep = [True] * batch.num_rows
-            column = batch.column("text")
-            changed: dict[int, str] = {}
-            for i, h in enumerate(hits):
-                if not h:
-                    continue
-                if sum(b - a for a, b in merge(h, "s", "e")) * 1_000_000 >= per * n_words[i]:
-                    keep[i] = False
-                    continue
-                raw = column[i].as_py().encode()
-                at, kept = 0, []
-                for a, b in merge(h, "bs", "be"):
-                    kept.append(raw[at:a])
-                    at = b
-                changed[i] = b"".join([*kept, raw[at:]]).decode()
-            arrays = []
-            for name in batch.schema.names:
-                c = batch.column(name)
-                if changed and name in ("text", "n_chars"):
-                    values = c.to_pylist()
-                    for i, t in changed.items():
-                        values[i] = t if name == "text" else len(t)
-                    c = pa.array(values, c.type)
-                arrays.append(c)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep))
-
-    return spans.mapInArrow(run, spans.schema).select(*docs.columns)
+            raw = column[i].as_py().encode()
+            at, kept = 0, []
+            for a, b in merge(h, "bs", "be"):
+                kept.append(raw[at:a])
+                at = b
+            changed[i] = b"".join([*kept, raw[at:]]).decode()
+        return with_texts(batch, changed).filter(pa.array(keep))
+
+    return _through(docs, benchmark, window, finish, docs.schema)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, maybe_broadcast, ship
 from .words import iter_words, mix, shingles
+from .workers import tidy
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -106,7 +107,7 @@ def _thin(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {kind}, th long, fp binary, size long, " + ", ".join(f"k{t} long" for t in range(trees))
-    return materialize(rows.mapInArrow(run, schema), "signatures")
+    return materialize(rows.mapInArrow(tidy(run), schema), "signatures")
 
 
 def _payload(docs: DataFrame, width: int) -> DataFrame:
@@ -120,7 +121,7 @@ def _payload(docs: DataFrame, width: int) -> DataFrame:
                 sets = [sh[first[d] : first[d + 1]].tobytes() for d in some.tolist()]
                 yield pa.RecordBatch.from_pydict({"fp": pa.array(_binary(prints), pa.binary()), "set": pa.array(sets, pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "fp binary, set binary")
+    return docs.select("text").mapInArrow(tidy(run), "fp binary, set binary")
 
 
 class _Group:
@@ -246,7 +247,7 @@ def _verify(members: DataFrame, trees: int, num: int, den: int) -> DataFrame:
         yield from close()
 
     dealt = members.repartition("tree", "key", "one", "two").sortWithinPartitions("tree", "key", "one", "two")
-    return dealt.mapInArrow(run, "fp binary, other binary, links long")
+    return dealt.mapInArrow(tidy(run), "fp binary, other binary, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, maybe_broadcast, ship
 from .words import Words, iter_words
+from .workers import tidy
 
 VOCABULARY = 16_384
 KEEP = 2
@@ -79,7 +80,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
                     yield emit(*c.take())
         yield emit(*c.take())
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "h").limit(size).select("h").toArrow().column("h").to_numpy()
     return np.sort(top.view(np.uint64) if len(top) else np.zeros(0, np.uint64))
 
@@ -139,7 +140,7 @@ def train(docs: DataFrame, known: np.ndarray) -> tuple[Model, DataFrame, int]:
                     yield emit(*c.take())
         yield emit(*c.take())
 
-    pairs = docs.select("text", "target").mapInArrow(run, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    pairs = docs.select("text", "target").mapInArrow(tidy(run), "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     pairs = materialize(pairs, "pairs")
     width = len(known) + 2
 
@@ -220,6 +221,6 @@ def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFra
                 columns = {"doc_id": batch.column("doc_id")} | ({"text": batch.column("text")} if keep_text else {})
                 yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(n), "lt": pa.array(losses[0]), "lb": pa.array(losses[1])})
 
-        df = df.mapInArrow(run, f"doc_id {kind}, " + "text string, " * keep_text + "n long, lt double, lb double")
+        df = df.mapInArrow(tidy(run), f"doc_id {kind}, " + "text string, " * keep_text + "n long, lt double, lb double")
     per = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     return df.select("doc_id", F.col("n").alias("n_tokens"), per("lt").alias("target_loss"), per("lb").alias("background_loss"), (per("lt") - per("lb")).alias("score"))

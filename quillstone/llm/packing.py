@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, maybe_broadcast, ship
 from .tokens import encoder
+from .workers import tidy
 
 LENGTH = 1024
 WINDOW = 32 * 1024
@@ -61,7 +62,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                     "part": pa.array([part] * (last - first), pa.int32()), "at": pa.array(before, pa.int64()), "n": pa.array(sizes, pa.int64()), "ids": pa.array(blobs, pa.binary()),
                 })
 
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, queue string, part int, at long, n long, ids binary"), "tokens")
+    return materialize(rows.mapInArrow(tidy(run, tokens=True), f"doc_id {kind}, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
 class Rounds:
@@ -137,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(given, pa.list_(pa.int32()))} if keep_ids else {}))
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return placed.mapInArrow(run, schema + ", ids array<int>" * keep_ids)
+    return placed.mapInArrow(tidy(run), schema + ", ids array<int>" * keep_ids)
 
 
 def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, end: int = END, pad: int = END) -> DataFrame:

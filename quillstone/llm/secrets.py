@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from ..runtime import ship
 from .words import buffers
+from .workers import tidy, with_texts
 
 THRESHOLD = 8.0
 KINDS = ("assign", "access", "hex", "guess")
@@ -170,7 +171,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 "found": pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))),
             })
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,cost:double>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,cost:double>>")
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, mark: str = "[REDACTED]") -> DataFrame:
@@ -192,15 +193,6 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, mark: str = "[REDACTED
                                 parts += [text[at:a], mark]
                             at = b
                     changed[i] = "".join([*parts, text[at:]])
-            arrays = []
-            for name in batch.schema.names:
-                c = batch.column(name)
-                if changed and name in ("text", "n_chars"):
-                    values = c.to_pylist()
-                    for i, t in changed.items():
-                        values[i] = t if name == "text" else len(t)
-                    c = pa.array(values, c.type)
-                arrays.append(c)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+            yield with_texts(batch, changed)
+
+    return docs.mapInArrow(tidy(run), docs.schema)

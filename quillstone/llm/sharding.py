@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, maybe_broadcast, ship
 from .words import mix
+from .workers import tidy
 
 SHARDS = 16
 
@@ -70,7 +71,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFr
                 "part": pa.array(np.full(len(ids), part, np.int32)), "local": pa.array(local),
             })
 
-    placed = materialize(thin.mapInArrow(run, f"doc_id {kind}, size long, text_crc32 long, shard int, grown_shard int, part int, local long"), "shards")
+    placed = materialize(thin.mapInArrow(tidy(run), f"doc_id {kind}, size long, text_crc32 long, shard int, grown_shard int, part int, local long"), "shards")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     base = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
     base = materialize(base, "shard-bases")

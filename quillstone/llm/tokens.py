@@ -16,7 +16,8 @@ import pyarrow as pa
 
 from .words import buffers, groups, mix
 
-CACHE = 2_000_000
+CACHE = 700_000
+PIECE = 1 << 20
 _LIMIT = 0x530
 _P = 0xA0761D6478BD642F | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -44,15 +45,12 @@ def _classes() -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"].get("vocab", {})
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.dtype = np.dtype(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.dtype = np.dtype(np.uint16 if max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))] if isinstance(vocab, dict) else [1 << 16]) < 1 << 16 else np.uint32)
         self.fast = None
         if self._plain(spec):
             import tiktoken
@@ -66,6 +64,16 @@ class Encoder:
             self.powers = np.zeros((2, 0), np.uint64)
             self._reset()
 
+    @property
+    def library(self):
+        """The library's tokenizer; loaded when a text needs it."""
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     @staticmethod
     def _plain(spec: dict) -> bool:
         """Byte-level BPE with the usual pre-token pattern, whose merges are in the order of their ids."""
@@ -175,7 +183,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, first id of each row and the end), for about a megabyte of text at a time."""
         offsets, data = buffers(column)
-        for first, last in groups(offsets):
+        for first, last in groups(offsets, PIECE):
             raw = data[offsets[first] : offsets[last]].tobytes()
             lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # first bytes of characters
             bounds = np.searchsorted(lead, offsets[first : last + 1] - offsets[first])

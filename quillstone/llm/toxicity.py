@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
 from .words import Words, iter_words
+from .workers import tidy
 
 POSITIVE = 4_000
 NEGATIVE = 12_000
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
                     "h": pa.array([h.view(np.int64) for h, _ in rows], pa.list_(pa.int64())), "tf": pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32())),
                 })
 
-    rows = materialize(texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, h array<long>, tf array<int>"), "label-words")
+    rows = materialize(texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(tidy(run), "doc_id long, toxic int, h array<long>, tf array<int>"), "label-words")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     weight = {y: max(1.0, totals.get(y, 0) / max(1, n.get(y, 0))) for y in (0, 1)}
@@ -248,7 +249,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                     "evidence": pa.array([e for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
                 })
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def reject(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -265,4 +266,4 @@ def reject(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 keep += [m.score(tf)[0] < cut for tf in m.counts(w)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

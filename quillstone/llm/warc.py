@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, maybe_broadcast, scratch_path, ship
+from .workers import tidy
 
 MEMBER = 16 << 20
 PACKAGE = 512 << 20
@@ -255,7 +256,7 @@ def write(pages: DataFrame, path: str | None = None) -> DataFrame:
             done.append(package.close())
         yield pa.RecordBatch.from_pydict({"path": pa.array([f"{base}/{n}" for n, _, _ in done], pa.string()), "records": pa.array([k for _, k, _ in done], pa.int64()), "bytes": pa.array([b for _, _, b in done], pa.int64())})
 
-    return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "packages")
+    return materialize(rows.mapInArrow(tidy(run), "path string, records long, bytes long"), "packages")
 
 
 def read(packages: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -297,7 +298,7 @@ def read(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                         yield _batch(rows, with_payload)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
-    return packages.select("path").mapInArrow(run, schema)
+    return packages.select("path").mapInArrow(tidy(run), schema)
 
 
 def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
