@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 _DIRS: list[tuple[SparkSession, str]] = []
 _LOCAL_ROOT: list[str] = []
@@ -20,6 +21,8 @@ _LOCAL_ROOT: list[str] = []
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no shared code folder."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default; whole texts need smaller batches for bounded memory
+        spark.conf.set(_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
