@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_array
+from ..runtime import materialize
 
 TAIL, PROBE = 16 * 1024, 4 * 1024
 
@@ -77,4 +78,5 @@ def optimise(order: DataFrame, edges: DataFrame) -> DataFrame:
         path = min([*found, swapped], key=total)
         return pd.DataFrame({"block": key[0], "doc_id": path, "rank": range(len(path)), "block_bits": round(total(path), 6)})
 
+    edges = materialize(edges, "edge-scores")  # scored once; also keeps its columns apart from those of the order
     return order.groupBy("block").cogroup(edges.groupBy("block")).applyInPandas(best, "block long, doc_id long, rank long, block_bits double")
