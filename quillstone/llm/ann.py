@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ REPLICAS = 4
 BOUNDARY = 1.05
 TARGET = 0.97
 FIT_QUERIES = 256
+FIT_ROWS = 512
 BLOCK = 2_048
 QUERY_BLOCK = 1_024
 TOP = 10
@@ -142,7 +144,7 @@ def fit(x: np.ndarray, rows: int, top: int = TOP, target: float = TARGET) -> tup
     """Centroids for a table of so many rows, and the ratio at which the sample's lists hold target of its neighbours."""
     lists = min(MAX_LISTS, max(1, len(x) // 8), 1 << max(0, math.ceil(math.log2(max(1, rows / LIST)))))
     centroids = Centroids(balanced_centroids(x, lists))
-    lists_of = centroids.assign(x)
+    lists_of = [v for a in range(0, len(x), FIT_ROWS) for v in centroids.assign(x[a : a + FIT_ROWS])]
     width = max(map(len, lists_of))
     padded = np.array([np.pad(v, (0, width - len(v)), "edge") for v in lists_of])
     picks = np.unique(np.linspace(0, len(x) - 1, min(len(x), FIT_QUERIES)).astype(np.int64))
@@ -205,7 +207,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow() if n else None
     if not n or picked is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = np.array([len(v) for v in picked.column("embedding").to_pylist()])
+    lengths = pc.list_value_length(picked.column("embedding")).to_numpy()
     dim = int(np.bincount(lengths).argmax())
     base = _matrix(picked.column("embedding").combine_chunks().filter(pa.array(lengths == dim)))
     centroids, ratio = fit(base, n, top, target)
