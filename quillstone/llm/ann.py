@@ -6,9 +6,10 @@ table goes to its nearest centroid's list, found through the graph; a boundary v
 almost as near, also to theirs. A query reads the lists whose centroids are within a ratio of its nearest one's
 distance; the ratio is fitted on the sample, so that the lists hold TARGET of the sample's true neighbours.
 
-Lists and their queries are joined in tasks of bounded rows: a list of many vectors (copies of one, say) or of many
-queries is dealt out as blocks. Distances are exact, in double precision, on the original vectors. A query that
-finds too few candidates in its lists is compared with all rows, in blocks.
+Lists and their queries meet in units of bounded rows: near lists share a unit, a list of many vectors (copies of one,
+say) is dealt out over several, and a unit's queries come in parts. A unit returns the nearest of all that a query reads
+there, so that few rows are shuffled for a query. Distances are exact, in double precision, on the original vectors. A
+query that finds too few candidates in its lists is compared with all rows, in blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, rows without an id, and vectors
 whose length isn't the sample's most common one take no part; rows that repeat an id and vector count once; ties go to
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import materialize, maybe_broadcast, ship
 from .workers import tidy
 
 SAMPLE = 20_000
@@ -43,6 +44,10 @@ FIT_QUERIES = 256
 FIT_ROWS = 512
 BLOCK = 2_048
 QUERY_BLOCK = 1_024
+UNITS = 32
+UNIT_ROWS = (1_024, 32_768)
+UNIT_QUERIES = 16_384
+PAIRS = 16_384
 TOP = 10
 
 
@@ -71,7 +76,8 @@ def balanced_centroids(x: np.ndarray, lists: int) -> np.ndarray:
         if len(nxt) == len(leaves):
             break
         leaves = nxt
-    return np.unique(np.array([x[i].mean(0) for i in leaves]), axis=0)
+    means = np.array([x[i].mean(0) for i in leaves])
+    return means[np.sort(np.unique(means, axis=0, return_index=True)[1])]
 
 
 class Centroids:
@@ -165,32 +171,61 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, ids, exact distances) of the top rows for each query, its own id left out."""
-    d = _distances(q, x)
-    d[q_ids[:, None] == x_ids[None]] = np.inf
-    edge = np.partition(d, min(top, d.shape[1]) - 1, axis=1)[:, min(top, d.shape[1]) - 1]
-    for r in range(len(q)):
-        at = np.flatnonzero((d[r] <= edge[r] + 1e-6) & np.isfinite(d[r]))
-        if len(at):
-            exact = np.sqrt(((q[r] - x[at]) ** 2).sum(1))
-            ids = x_ids[at]
-            order = np.lexsort((ids, exact))
-            order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])][:top]
-            yield r, ids[order], exact[order]
+def _best(q: np.ndarray, ids: np.ndarray, exact: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The top different ids of each query row, ties to the smaller id."""
+    order = np.lexsort((exact, ids, q))
+    q, ids, exact = q[order], ids[order], exact[order]
+    once = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])])[: len(q)]
+    q, ids, exact = q[once], ids[once], exact[once]
+    order = np.lexsort((ids, exact, q))
+    q, ids, exact = q[order], ids[order], exact[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < top
+    return q[keep], ids[keep], exact[keep]
+
+
+def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, top: int, reads=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, ids, exact distances) of the top rows for each query, its own id left out.
+
+    reads(a, b), if given, tells which rows of x the queries a to b may take. Pieces bound what is held at a time.
+    """
+    norms, out = (x * x).sum(1), []
+    for a in range(0, len(q), QUERY_BLOCK):
+        part, mine = q[a : a + QUERY_BLOCK], q_ids[a : a + QUERY_BLOCK]
+        may = reads(a, a + len(part)) if reads else None
+        sizes = (part * part).sum(1)[:, None]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in range(0, len(x), BLOCK):
+            piece, ids = x[b : b + BLOCK], x_ids[b : b + BLOCK]
+            d = sizes + norms[b : b + BLOCK] - 2 * (part @ piece.T)
+            d[(mine[:, None] == ids) if may is None else (mine[:, None] == ids) | ~may(b, b + len(ids))] = np.inf
+            kth = min(top, len(ids)) - 1
+            slack = 1e-12 * (sizes + norms[b : b + BLOCK].max())  # more than rounding can move a squared distance
+            r, c = np.nonzero((d <= np.partition(d, kth, axis=1)[:, kth, None] + slack) & np.isfinite(d))
+            exact = np.empty(len(r))
+            for k in range(0, len(r), PAIRS):
+                exact[k : k + PAIRS] = np.sqrt(((part[r[k : k + PAIRS]] - piece[c[k : k + PAIRS]]) ** 2).sum(1))
+            best = _best(*(np.concatenate(v) for v in zip(best, (r, ids[c], exact), strict=True)), top)
+        out.append((best[0] + a, best[1], best[2]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def units_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first unit and the number of units of each list, by its rows: small lists in a row share one."""
+    size = int(min(UNIT_ROWS[1], max(UNIT_ROWS[0], -(-counts.sum() // UNITS))))
+    first, many = np.zeros(len(counts), np.int64), -(-counts // size)
+    unit = filled = 0
+    for i, n in enumerate(counts):
+        if filled and filled + n > size:
+            unit, filled = unit + 1, 0
+        first[i], filled = unit, filled + n
+        if n > size:
+            unit, filled = unit + int(many[i]), 0
+    return first, many
 
 
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _batch(out: list[tuple[int, np.ndarray, np.ndarray]], q_ids: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({
-        "query_id": np.concatenate([np.full(len(i), q_ids[r], np.int64) for r, i, _ in out]) if out else np.zeros(0, np.int64),
-        "vec_id": np.concatenate([i for _, i, _ in out]) if out else np.zeros(0, np.int64),
-        "score": np.concatenate([s for _, _, s in out]) if out else np.zeros(0),
-    })
-
-
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id (long) and embedding (doubles) of the rows that take part, whatever their length."""
     e = F.col("embedding").cast("array<double>")
@@ -215,38 +250,59 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
     rows = rows.where(F.size("embedding") == dim)
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
 
-    def place(probing: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            step = max(16, 4_000_000 // (len(c.points) + 1) // 8)
-            for batch in batches:
-                for a in range(0, batch.num_rows, step):
-                    part = batch.slice(a, step)
-                    x = _matrix(part.column("embedding"))
-                    lists = c.probe(x, ratio) if probing else c.assign(x)
-                    at = pa.array(np.repeat(np.arange(len(lists)), [len(v) for v in lists]))
-                    yield pa.RecordBatch.from_pydict({"list": pa.array(np.concatenate(lists).astype(np.int32)), "vec_id": part.column("vec_id").take(at), "embedding": part.column("embedding").take(at)})
-
-        return run
-
-    schema = "list int, vec_id long, embedding array<double>"
-    postings = materialize(rows.mapInArrow(tidy(place(False)), schema), "postings")
-    probes = materialize(queries.mapInArrow(tidy(place(True)), schema), "probes")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(
-        probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")), "list")
-    sizes = F.broadcast(materialize(sizes, "list-sizes"))  # a row for each list: MAX_LISTS at most
-    seq = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    block, part = (F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int") for c in ("blocks", "parts"))
-    left = postings.join(sizes, "list").select("list", block.alias("block"), seq("parts").alias("part"), "vec_id", "embedding")
-    right = probes.join(sizes, "list").select("list", seq("blocks").alias("block"), part.alias("part"), "vec_id", "embedding")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        step = max(16, 4_000_000 // (len(shared.value.points) + 1) // 8)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                yield part, _matrix(part.column("embedding"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in pieces(batches):
+            lists = shared.value.assign(x)
+            at = pa.array(np.repeat(np.arange(len(lists)), [len(v) for v in lists]))
+            yield pa.RecordBatch.from_pydict({"list": pa.array(np.concatenate(lists).astype(np.int32)), "vec_id": part.column("vec_id").take(at), "embedding": part.column("embedding").take(at)})
+
+    postings = materialize(rows.mapInArrow(tidy(place), "list int, vec_id long, embedding array<double>"), "postings")
+    counts = np.zeros(len(centroids.points), np.int64)
+    held = postings.groupBy("list").count().toArrow()  # a row for each list: MAX_LISTS at most
+    counts[held.column("list").to_numpy()] = held.column("count").to_numpy()
+    first, many = units_of(counts)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in pieces(batches):
+            lists = shared.value.probe(x, ratio)
+            flat = np.concatenate(lists)
+            n = many[flat]
+            row = np.repeat(np.repeat(np.arange(len(lists)), [len(v) for v in lists]), n)
+            unit = np.repeat(first[flat] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (unit[1:] != unit[:-1])])[: len(row)])
+            at = pa.array(row[starts])
+            read = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(np.repeat(flat, n).astype(np.int32)))
+            yield pa.RecordBatch.from_pydict({"unit": pa.array(unit[starts]), "vec_id": part.column("vec_id").take(at), "embedding": part.column("embedding").take(at), "lists": read})
+
+    probes = materialize(queries.mapInArrow(tidy(probe), "unit long, vec_id long, embedding array<double>, lists array<int>"), "probes")
+    spread = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(first), dtype=np.int32), "first": first, "many": many}), "list int, first long, many long"))
+    parts = materialize(probes.groupBy("unit").agg(F.ceil(F.count("*") / UNIT_QUERIES).cast("int").alias("parts")), "unit-parts")
+    parts = maybe_broadcast(parts, parts.count())
+    left = postings.join(spread, "list").withColumn("unit", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).join(parts, "unit")
+    left = left.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "list", "vec_id", "embedding")
+    right = probes.join(parts, "unit").select("unit", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "embedding", "lists")
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return _batch([], np.zeros(0, np.int64))
-        q_ids = b["vec_id"].to_numpy()
-        return _batch(list(_nearest(np.stack(b["embedding"]), q_ids, np.stack(a["embedding"]), a["vec_id"].to_numpy(), top)), q_ids)
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        here, of = np.unique(a["list"].to_numpy(), return_inverse=True)
+        wanted, q_ids = b["lists"].to_numpy(), b["vec_id"].to_numpy()
+
+        def reads(lo: int, hi: int):
+            takes = np.array([np.isin(here, v) for v in wanted[lo:hi]])
+            return lambda c, d: takes[:, of[c:d]]
+
+        r, ids, score = _nearest(np.stack(b["embedding"]), q_ids, np.stack(a["embedding"]), a["vec_id"].to_numpy(), top, reads)
+        return pd.DataFrame({"query_id": q_ids[r], "vec_id": ids, "score": score})
 
-    on = ["list", "block", "part"]
+    on = ["unit", "part"]
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(meet, _FOUND)
     found = materialize(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "found")
 
@@ -264,10 +320,9 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
         def scan(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             q, q_ids = some.value
             for batch in batches:
-                for a in range(0, batch.num_rows, BLOCK):
-                    piece = batch.slice(a, BLOCK)
-                    got = _batch(list(_nearest(q, q_ids, _matrix(piece.column("embedding")), piece.column("vec_id").to_numpy(), top)), q_ids)
-                    yield pa.RecordBatch.from_pandas(got, preserve_index=False)
+                if batch.num_rows:
+                    r, ids, score = _nearest(q, q_ids, _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), top)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[r]), "vec_id": pa.array(ids), "score": pa.array(score)})
 
         more = rows.mapInArrow(tidy(scan), _FOUND)
         found = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -232,6 +232,17 @@ def test_neighbours(spark):
     assert [r.vec_id for r in ann.search(few).orderBy("rank").collect()] == [2, 1]
 
 
+def test_units_hold_bounded_rows():
+    counts = np.array([0, 500, 400, 300, 200_000, 10, 0, 20])
+    first, many = ann.units_of(counts)
+    size = max(ann.UNIT_ROWS[0], -(-counts.sum() // ann.UNITS))
+    rows = np.zeros(int((first + many).max()), np.int64)
+    for f, m, n in zip(first, many, counts, strict=True):
+        rows[f : f + m] += -(-n // m) if m else 0
+    assert rows.max() <= size and (rows > 0).all()
+    assert list(many == 0) == list(counts == 0) and many[4] == -(-200_000 // size)
+
+
 def test_block_max_index_is_exact():
     rng = random.Random(2)
     vectors = [{t: rng.random() for t in rng.sample(range(30), 4)} for _ in range(500)]
