@@ -32,7 +32,7 @@ KEEP = 2
 DISCOUNT = 0.75
 SMOOTH = 0.5
 SHARD = 4_000_000
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 class Counter:
