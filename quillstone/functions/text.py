@@ -59,3 +59,67 @@ def slots(counts: Column, first: int, last: int) -> Column:
 def byte_array(text: Column) -> Column:
     """The bytes of a text as two hex digits each."""
     return F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+
+
+def toggle_runs(text: Column, marks: str = "{}[]&") -> Column:
+    """Runs of exactly one mark become two and of exactly two one; longer ones stay, so twice changes nothing."""
+    runs = F.regexp_extract_all(text, F.lit(runs_pattern(marks)), F.lit(0))
+    swapped = lambda r: F.when((F.length(r) > 2) | ~F.substring(r, 1, 1).isin(list(marks)), r).when(F.length(r) == 1, F.concat(r, r)).otherwise(F.substring(r, 1, 1))
+    return F.array_join(F.transform(runs, swapped), "")
+
+
+def runs_pattern(marks: str = "{}[]&") -> str:
+    """Runs of one mark, or of characters that are none."""
+    return "|".join(f"[{m if m != ']' and m != '[' else chr(92) + m}]+" for m in marks) + "|[^" + "".join(chr(92) + m if m in "[]&" else m for m in marks) + "]+"
+
+
+def causal_bits(text: str | None, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with `order` bytes before it, and its ideal bits by the counts of its context so far in the text."""
+    raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64)
+    size = max(0, len(raw) - order)
+    context = np.zeros(size, np.int64)
+    for j in range(order):
+        context = context * 256 + raw[j : j + size]
+    last = raw[order:]
+    return last, np.log2(_earlier(context) + 128.0) - np.log2(_earlier(context * 256 + last) + 0.5)
+
+
+def _earlier(keys: np.ndarray) -> np.ndarray:
+    """How often each key came before."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    start = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(keys)]
+    out = np.empty(len(keys), np.int64)
+    at = np.arange(len(keys))
+    out[order] = at - np.maximum.accumulate(np.where(start, at, 0))
+    return out
+
+
+# Classes of bytes, in the order of class_sums().
+CLASSES = ("digit", "letter", "space", "punctuation", "high")
+
+
+def byte_classes() -> np.ndarray:
+    """The place in CLASSES of each byte value."""
+    out = np.full(256, 3)
+    out[128:] = 4
+    for i in range(128):
+        out[i] = 0 if chr(i).isdigit() else 1 if chr(i).isalpha() else 2 if i in b" \t\n\r" else 3
+    return out
+
+
+def class_sums(order: int):
+    """A column function: bytes and bits of a text by class of byte, as ten doubles."""
+
+    @F.pandas_udf("array<double>")
+    def sums(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = byte_classes()
+        for batch in texts:
+            out = []
+            for t in batch:
+                last, bits = causal_bits(t, order)
+                c = places[last]
+                out.append(np.concatenate([np.bincount(c, minlength=5).astype(float), np.bincount(c, bits, 5)]))
+            yield pd.Series(out)
+
+    return sums

@@ -462,3 +462,119 @@ def trace_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_last_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest earlier position of the same context."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id", "role").orderBy("turn")).alias("last_match"))
+
+
+_RUN_LIST = f"list_transform(regexp_extract_all({{c}}, '{tx.runs_pattern()}'), lambda r: CASE WHEN length(r) > 2 OR NOT contains('{{m}}', r[1]) THEN r WHEN length(r) = 1 THEN r || r ELSE r[1] END)"
+_TOGGLED = "array_to_string(" + _RUN_LIST.replace("{c}", "html").replace("{m}", "{}[]&") + ", '')"
+
+
+@query(f"SELECT page_id, strlen({_TOGGLED}) AS toggled_bytes, md5({_TOGGLED}) AS toggled_md5, md5(html) AS restored_md5 FROM pages")
+def bracket_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one or two brackets swapped, and swapped back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", tx.toggle_runs(F.col("html")).alias("t"))
+    return pages.select("page_id", F.octet_length("t").cast("long").alias("toggled_bytes"), F.md5("t").alias("toggled_md5"), F.md5(tx.toggle_runs(F.col("t"))).alias("restored_md5"))
+
+
+def _losses(order: int) -> str:
+    """Closed form over counts: a key that comes n times costs a sum of n logarithms, in whatever order they fall."""
+    parts = ", ".join(f"unnest(b[{j + 1}:len(b) - {order - j}]) AS x{j}" for j in range(order + 1))
+    names = [f"x{j}" for j in range(order + 1)]
+    cut = f"SELECT doc_id, {' || '.join(names[:-1])} AS ctx, {' || '.join(names)} AS gram FROM (SELECT doc_id, {parts} FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents))"
+    return (
+        f"WITH g AS MATERIALIZED (SELECT doc_id, ctx, gram, count(*) AS n FROM ({cut}) GROUP BY ALL), c AS MATERIALIZED (SELECT doc_id, ctx, sum(n)::BIGINT AS n FROM g GROUP BY ALL), "
+        "l AS MATERIALIZED (SELECT j AS n, sum(log2(j - 1 + 128::DOUBLE)) OVER (ORDER BY j) AS near, sum(log2(j - 0.5::DOUBLE)) OVER (ORDER BY j) AS seen FROM (SELECT unnest(range(1, (SELECT max(n) FROM c) + 1)) AS j)), "
+        "x AS (SELECT doc_id, sum(c.n)::BIGINT AS bytes, sum(near) AS bits FROM c JOIN l USING (n) GROUP BY doc_id), y AS (SELECT doc_id, sum(seen) AS bits FROM g JOIN l USING (n) GROUP BY doc_id) "
+        "SELECT doc_id, bytes, round(x.bits - y.bits, 4) AS bits FROM x JOIN y USING (doc_id)"
+    )
+
+
+def _order_bits(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    """Whole texts in, ten sums out: no row for a byte and no shuffle."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") > order).select("doc_id", tx.class_sums(order)("text").alias("s"))
+    return docs.select("doc_id", F.slice("s", 1, 5).alias("n"), F.slice("s", 6, 5).alias("b"))
+
+
+def _total(c: str):
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+
+@query(_losses(1))
+def surprisal_order1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_bits(spark, sf_dir, 1).select("doc_id", _total("n").cast("long").alias("bytes"), _round(_total("b"), 4).alias("bits"))
+
+
+@query(_losses(2))
+def surprisal_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_bits(spark, sf_dir, 2).select("doc_id", _total("n").cast("long").alias("bytes"), _round(_total("b"), 4).alias("bits"))
+
+
+@query()  # a window over every byte is too slow in SQL; tested against plain Python
+def surprisal_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses under an adaptive order-2 byte model by class of byte."""
+    each = _order_bits(spark, sf_dir, 2).select(F.posexplode(F.arrays_zip("n", "b")).alias("c", "v")).groupBy("c").agg(F.sum("v.n").cast("long").alias("events"), F.sum("v.b").alias("bits"))
+    name = F.element_at(F.array(*[F.lit(c) for c in tx.CLASSES]), F.col("c") + 1)
+    return each.where("events > 0").select(name.alias("class"), "events", _round("bits", 2).alias("bits"), _round(F.col("bits") / F.col("events")).alias("bits_per_event"))
+
+
+_ALPHAS = (-0.5, -0.25, 0.0, 0.125, 0.25, 0.5, 1.0)
+
+
+@query(
+    "WITH a AS (SELECT l_orderkey AS k, l_linenumber AS j, l_linenumber % 2 = 1 AS hit, l_returnflag AS r, l_linestatus AS t, l_quantity::DOUBLE / 10 - 2 AS base FROM lineitem), "
+    "b AS (SELECT l_orderkey AS k, l_linenumber AS j, l_discount::DOUBLE * 20 - 1 AS more FROM lineitem), "
+    "s AS (SELECT hit, base, more, unnest(CASE WHEN r = 'N' THEN ['active', 'continued'] ELSE ['active', 'ended', 'ended_' || t] END) AS category FROM a JOIN b USING (k, j)) "
+    f"SELECT category, alpha, count(*) AS n, round(sum(log2(1 + exp(CASE WHEN hit THEN -1 ELSE 1 END * (base + alpha * more)))), 3) AS bits FROM s, (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in _ALPHAS)}]) AS alpha) GROUP BY ALL"
+)
+def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two traces by key, their logits blended by each weight: losses by overlapping categories."""
+    li = table(spark, sf_dir, "lineitem")
+    key = [F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("j")]
+    ended = F.array(F.lit("active"), F.lit("ended"), F.concat(F.lit("ended_"), F.col("l_linestatus")))
+    a = li.select(*key, F.when(F.col("l_linenumber") % 2 == 1, -1.0).otherwise(1.0).alias("sign"), F.when(F.col("l_returnflag") == "N", F.array(F.lit("active"), F.lit("continued"))).otherwise(ended).alias("cs"), (F.col("l_quantity").cast("double") / 10 - 2).alias("base"))
+    b = li.select(*key, (F.col("l_discount").cast("double") * 20 - 1).alias("more"))
+    loss = lambda w: F.sum(F.log2(1 + F.exp(F.col("sign") * (F.col("base") + w * F.col("more")))))
+    wide = a.join(b, ["k", "j"]).select("sign", "base", "more", F.explode("cs").alias("category")).groupBy("category").agg(F.count("*").alias("n"), F.array(*[loss(w) for w in _ALPHAS]).alias("sums"))
+    return wide.select("category", "n", F.posexplode("sums").alias("i", "s")).select("category", F.element_at(F.array(*[F.lit(w) for w in _ALPHAS]), F.col("i") + 1).alias("alpha"), "n", _round("s", 3).alias("bits"))
+
+
+@query(f"SELECT shape, n, row_number() OVER (ORDER BY n DESC, first, shape) AS place FROM (SELECT regexp_replace(x, '[0-9]', 'D', 'g') AS shape, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_SEQUENCE}')) AS x FROM pages) GROUP BY 1) QUALIFY place <= 50")
+def numeric_shape_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 most frequent shapes, ties by the first page that holds them (the limit is the feature)."""
+    shapes = _found(table(spark, sf_dir, "pages"), "html", _SEQUENCE, "page_id").groupBy(tx.digit_shape(F.col("x")).alias("shape")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    top = shapes.orderBy(F.desc("n"), "first", "shape").limit(50)
+    return top.select("shape", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first", "shape")).cast("long").alias("place"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS shared, (SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)) AS either, "
+       "(SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS unlabelled, (SELECT count(doc_id) = count(DISTINCT doc_id) FROM documents) AS ids_distinct")
+def id_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that two tables share, that either has, that the second lacks; one shuffle of ids for all."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("d"), F.lit(0).alias("l")).unionByName(table(spark, sf_dir, "labels").select("doc_id", F.lit(0).alias("d"), F.lit(1).alias("l")))
+    each = ids.groupBy("doc_id").agg(F.sum("d").alias("d"), F.sum("l").alias("l"))
+    count = lambda c: F.count(F.when(c, 1))
+    return each.agg(count((F.col("d") > 0) & (F.col("l") > 0)).alias("shared"), F.count("*").alias("either"), count((F.col("d") > 0) & (F.col("l") == 0)).alias("unlabelled"),
+                    (F.coalesce(F.max(F.when(F.col("doc_id").isNotNull(), F.col("d"))), F.lit(0)) <= 1).alias("ids_distinct"))
+
+
+_LETTERS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM "
+
+
+@query(
+    f"WITH d AS ({_LETTERS} benchmark), w AS ({_LETTERS} documents), x AS (SELECT word FROM w ANTI JOIN d USING (word)), "
+    "p AS (SELECT x.word, t.n, d.word AS part, 1 AS tail FROM x, unnest(range(7, length(x.word))) AS t(n) JOIN d ON d.word = right(x.word, t.n) "
+    "UNION ALL SELECT x.word, t.n, d.word, 0 FROM x, unnest(range(7, length(x.word))) AS t(n) JOIN d ON d.word = left(x.word, t.n)), "
+    "b AS (SELECT word, max_by(part, tail * 1000000 + n) AS part, max(tail) AS tail FROM p GROUP BY word) "
+    "SELECT w.word, CASE WHEN d.word IS NOT NULL THEN 'whole' WHEN b.tail = 1 THEN 'suffix' WHEN b.tail = 0 THEN 'prefix' ELSE 'none' END AS kind, coalesce(d.word, b.part) AS known FROM w LEFT JOIN d USING (word) LEFT JOIN b USING (word)"
+)
+def prefix_suffix_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in a dictionary, else their longest known suffix of 7 or more letters, else prefix."""
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    known, w = words("benchmark"), words("documents")
+    lengths = F.explode(F.sequence(F.lit(7), F.length("word") - 1)).alias("n")
+    cut = w.join(known, "word", "left_anti").where(F.length("word") > 7).select("word", lengths)
+    parts = cut.select("word", "n", F.lit(1).alias("tail"), F.expr("right(word, n)").alias("part")).unionByName(cut.select("word", "n", F.lit(0).alias("tail"), F.expr("left(word, n)").alias("part")))
+    best = parts.join(known.withColumnRenamed("word", "part"), "part", "left_semi").groupBy("word").agg(F.max(F.struct("tail", "n", "part")).alias("best"))
+    rows = w.join(known.withColumn("whole", F.lit(True)), "word", "left").join(best, "word", "left")
+    kind = F.when(F.col("whole"), "whole").when(F.col("best.tail") == 1, "suffix").when(F.col("best.tail") == 0, "prefix").otherwise("none")
+    return rows.select("word", kind.alias("kind"), F.when(F.col("whole"), F.col("word")).otherwise(F.col("best.part")).alias("known"))

@@ -71,3 +71,28 @@ def test_entropy_and_histogram(spark):
     ship(spark)
     r = spark.createDataFrame([("aabb",), ("",), (None,)], "t string").select(tx.byte_histogram("t").alias("h")).select(tx.entropy(F.col("h")).alias("e")).collect()
     assert [x.e for x in r] == [1.0, 0.0, 0.0]
+
+
+def test_toggled_runs_come_back(spark):
+    cases = {"{a}": "{{a}}", "[[b]] & {{{c": "[b] && {{{c", "": "", "&&amp;[]": "&amp;[[]]", "plain": "plain"}
+    rows = spark.createDataFrame(list(cases), "string").select("value", tx.toggle_runs(F.col("value")).alias("t"), tx.toggle_runs(tx.toggle_runs(F.col("value"))).alias("back")).collect()
+    assert {r.value: r.t for r in rows} == cases and all(r.back == r.value for r in rows)
+
+
+def test_causal_losses_by_class(spark):
+    ship(spark)
+    texts = ["abab ab12, abab", "", "x", "né né né", "a" * 300]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", tx.class_sums(2)("text").alias("s")).collect()
+    for r in got:
+        raw, contexts, grams = texts[r.i].encode(), Counter(), Counter()
+        n, bits = Counter(), Counter()
+        for at in range(2, len(raw)):
+            c, g = raw[at - 2 : at], raw[at - 2 : at + 1]
+            last = raw[at]
+            kind = "high" if last > 127 else "digit" if chr(last).isdigit() else "letter" if chr(last).isalpha() else "space" if last in b" \t\n\r" else "punctuation"
+            n[kind] += 1
+            bits[kind] -= math.log2((grams[g] + 0.5) / (contexts[c] + 128))
+            contexts[c] += 1
+            grams[g] += 1
+        for j, kind in enumerate(tx.CLASSES):
+            assert r.s[j] == n[kind] and abs(r.s[5 + j] - bits[kind]) < 1e-9
