@@ -24,7 +24,7 @@ def mixture_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the arithmetic coder and back; dealt out first, since a file is few tasks and coding is slow."""
     ship(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", coding.packed(F.encode("text", "UTF-8")).alias("p"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", coding.packed(F.encode("text", "UTF-8")).alias("p"))
     return d.select("doc_id", coding.unpacked("p").alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("text_bytes"), F.md5("t").alias("restored_md5"))
 
 
