@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import coding, stemming
+from ..functions import coding, spans, stemming
 from ..runtime import ship, table
 from ..sources import dumps
 from .catalogue import word_dictionary
@@ -149,3 +149,22 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, ends of sentences and clauses, and paragraph breaks of each document."""
     size = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), size("[.?!;:]+(?:[ \n]|\\z)").alias("sentence_ends"), size("\n\n+").alias("paragraph_breaks"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN contains(url, '#') THEN 'fragment' WHEN regexp_matches(url, '\\?(.*&)?[^=&]*=[^&]*$') THEN 'query_value' WHEN contains(url, '?') THEN 'query_key' "
+    "WHEN regexp_matches(url, '://[^/]*/(.*/)?[^/]*[.][^/]*$') THEN 'extension' WHEN regexp_matches(url, '://[^/]*/') THEN 'path_segment' ELSE 'domain' END AS role, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages"
+)
+def url_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of a URL that stands last in running text."""
+    ship(spark)
+    p = table(spark, sf_dir, "pages").select("page_id", spans.url_states(F.concat(F.lit("see "), "url")).alias("s"))
+    return p.select("page_id", "s.role", "s.host")
+
+
+@query(f"SELECT segments, joiners, count(*) AS n FROM (SELECT len(regexp_extract_all(x, '[0-9]+')) AS segments, regexp_replace(x, '[0-9]+', '', 'g') AS joiners FROM (SELECT unnest(regexp_extract_all(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || ' ' || value || ' ' || props, '{spans.NUMBERS}')) AS x FROM events)) GROUP BY ALL")
+def number_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most five joined numbers, with a time after a date, by what joins them."""
+    raw = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.col("value").cast("string"), "props")
+    x = table(spark, sf_dir, "events").select(F.explode(F.regexp_extract_all(raw, F.lit(spans.NUMBERS), F.lit(0))).alias("x"))
+    return x.groupBy(F.size(F.regexp_extract_all("x", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("segments"), F.regexp_replace("x", "[0-9]+", "").alias("joiners")).agg(F.count("*").alias("n"))
