@@ -2,7 +2,7 @@
 
 The examples are a bounded sample of labelled documents (POSITIVE + NEGATIVE at most, chosen by a hash of the id).
 Terms are words and, since words are inflected, their first 4 to 6 bytes. The vector space holds the terms whose share
-of toxic examples exceeds that of others by a clear margin (at most TERMS; chosen from all the sample's terms), since
+of toxic examples exceeds that of others by a clear margin (all of them; the sample's rows bound their number), since
 votes of words common to all documents say nothing. A document's
 K nearest examples vote, weighted by cosine and by how many labelled documents an example stands for; a monotone map
 fitted to the examples' own leave-one-out votes turns votes into rates. The evidence is the nearest examples.
@@ -29,7 +29,6 @@ from .workers import tidy
 
 POSITIVE = 4_000
 NEGATIVE = 12_000
-TERMS = 1_024
 LEAST_Z = 5.0
 LEAST_LIFT = 10.0
 LEAST_DOCS = 3
@@ -51,6 +50,12 @@ def _terms(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h[h != 0], n[h != 0]
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class BlockMaxIndex:
     """Postings by term, cut into blocks of BLOCK examples that each know their largest weight."""
 
@@ -61,10 +66,13 @@ class BlockMaxIndex:
         terms = np.array([t for t, _, _ in entries], np.int64)
         self.rows = np.array([i for _, i, _ in entries], np.int64)
         self.weights = np.array([x for _, _, x in entries])
-        edges = (np.arange(n_terms)[:, None] * self.blocks + np.arange(self.blocks + 1)).ravel()
-        self.ptr = np.searchsorted(terms * self.blocks + self.rows // BLOCK, edges).reshape(n_terms, self.blocks + 1)
-        self.top = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.top, (terms, self.rows // BLOCK), self.weights)
+        key = terms * max(1, self.blocks) + self.rows // BLOCK
+        # only blocks that hold a term are stored, so size follows the postings, whatever the number of terms
+        self.ptr = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        held = key[self.ptr[:-1]]
+        self.block = held % max(1, self.blocks)
+        self.top = np.maximum.reduceat(self.weights, self.ptr[:-1]) if len(held) else np.zeros(0)
+        self.of_term = np.searchsorted(held, np.arange(n_terms + 1) * max(1, self.blocks))
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of the largest dot products over 0 (ties: the smaller row) and those products; exact.
@@ -73,7 +81,10 @@ class BlockMaxIndex:
         """
         terms = np.fromiter(query, np.int64, len(query))
         q = np.fromiter(query.values(), float, len(query))
-        bound = q @ self.top[terms]
+        at = _ranges(self.of_term[terms], self.of_term[terms + 1])
+        each = np.repeat(q, self.of_term[terms + 1] - self.of_term[terms])
+        held = self.block[at]
+        bound = np.bincount(held, each * self.top[at], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
@@ -81,11 +92,10 @@ class BlockMaxIndex:
         while done < len(order) and (len(rows) < k or bound[order[done]] >= scores[-1] - 1e-12):
             blocks = order[done : done + step]
             done, step = done + step, step * 2
-            starts = self.ptr[terms[:, None], blocks].ravel()
-            sizes = self.ptr[terms[:, None], blocks + 1].ravel() - starts
-            firsts = np.cumsum(sizes) - sizes
-            at = np.repeat(starts - firsts, sizes) + np.arange(sizes.sum())
-            acc = np.bincount(self.rows[at], np.repeat(np.repeat(q, len(blocks)), sizes) * self.weights[at], self.n)
+            now = np.isin(held, blocks)
+            starts, ends = self.ptr[at[now]], self.ptr[at[now] + 1]
+            of = _ranges(starts, ends)
+            acc = np.bincount(self.rows[of], np.repeat(each[now], ends - starts) * self.weights[of], self.n)
             if skip >= 0:
                 acc[skip] = 0
             found = np.flatnonzero(acc)
@@ -114,7 +124,7 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 class Model:
-    """Vocabulary, index, votes and calibration; small enough to broadcast (POSITIVE, NEGATIVE and TERMS bound it)."""
+    """Vocabulary, index, votes and calibration; small enough to broadcast (POSITIVE and NEGATIVE bound it)."""
 
     def __init__(self, keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]]) -> None:
         self.keys, self.idf = keys, idf
@@ -180,7 +190,7 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "table"} | {"seen": {}}
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Model:
     """Learn from the labels of documents that aren't held out."""
     ship(docs.sparkSession)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).where(~held_out(F.col("doc_id")))
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
         p1, p0 = F.col("a") / n1, (F.col("df") - F.col("a")) / n0
         p = F.col("df") / (n1 + n0)
         z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-        found = df.select("h", "df", z.alias("z"), p1.alias("p1"), p0.alias("p0")).where((F.col("z") >= LEAST_Z) & (F.col("p1") >= LEAST_LIFT * F.col("p0"))).orderBy(F.desc("z"), "h").limit(terms).collect()
+        found = df.select("h", "df", z.alias("z"), p1.alias("p1"), p0.alias("p0")).where((F.col("z") >= LEAST_Z) & (F.col("p1") >= LEAST_LIFT * F.col("p0"))).orderBy("h").collect()
     keys = np.array([r.h for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]

@@ -276,6 +276,34 @@ def test_toxicity_and_lm_scores(spark):
     assert np.mean([lm[i].score for i in range(0, 600, 5)]) > np.mean([lm[i].score for i in range(600) if i % 5])
 
 
+def test_every_term_that_passes_is_kept(spark):
+    rnd = random.Random(6)
+    plain = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    rare = ["".join(rnd.choice("uvwxyz") for _ in range(9)) for _ in range(1_500)]
+    texts, marks = [], []
+    for i in range(1_200):
+        bad = i % 4 == 0
+        texts.append(" ".join([rnd.choice(plain) for _ in range(30)] + (rnd.sample(rare, 50) if bad else [])))
+        marks.append((i, 1, int(bad)))
+    seen = defaultdict(lambda: [0, 0])
+    n = [0, 0]
+    for i, (t, (_, _, y)) in enumerate(zip(texts, marks, strict=True)):
+        if zlib.crc32(str(i).encode()) % 4 == toxicity.HELD_OUT:
+            continue
+        n[y] += 1
+        for w in iter_words(pa.array([t]), toxicity.PREFIXES):
+            for h in {int(x) for a in (w.hashes, *w.prefixes) for x in a} - {0}:
+                seen[h][y] += 1
+    passed = set()
+    for h, (a0, a1) in seen.items():
+        p1, p0, p = a1 / n[1], a0 / n[0], (a0 + a1) / sum(n)
+        z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12)
+        if a1 >= toxicity.LEAST_DOCS and z >= toxicity.LEAST_Z and p1 >= toxicity.LEAST_LIFT * p0:
+            passed.add(h)
+    model = toxicity.fit(docs_of(spark, texts), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert len(passed) > 1_024 and {int(k) for k in model.keys} == passed
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
