@@ -1,13 +1,15 @@
 """Cross-entropy difference of matched target and background bigram models over one vocabulary.
 
-The vocabulary is the VOCABULARY most frequent words of all documents (others are one unknown word). Pairs of words are
-counted over all documents (background) and over the target ones (labelled as good), pre-aggregated in each task. Both
-models are bigrams with absolute discounting that back off to unigrams, keep the same pairs (KEEP or more times in the
-background) and give the mass of the others to the back-off. A document's score is its mean loss per token under the
-target model less that under the background model: the lower, the more like the target.
+The vocabulary is every word of the documents, and both models know every pair of words that follow each other. Pairs
+are counted over all documents (background) and over the target ones (labelled as good), pre-aggregated in each task.
+Both models are bigrams with absolute discounting that back off to unigrams. A document's score is its mean loss per
+token under the target model less that under the background model: the lower, the more like the target.
 
-The kept pairs are broadcast in shards of SHARD pairs, through which documents pass one after the other; so a model of
-any size is used whole, and only the shard in use is in memory.
+What is seen once needs no entry: the scored documents are the counted ones, so a word or pair without an entry was seen
+once, here, and as a target if this document is one. Entries of words lie in slices of SLICE words; a pass over the
+documents scores the tokens whose word before and word lie in one slice each, with at most SHARD of the pairs there. So
+a model of any size is used whole, and only two slices and one shard of it are in memory (besides 8 bytes a word that
+was seen more than once, by which words are numbered).
 
 Defined cases: a document without words (null, empty) has 0 tokens and null losses and score; without target documents
 the target model is uniform; several labels of one document count as good if one does; repeated rows each get a row;
@@ -20,18 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, maybe_broadcast, ship
+from ..runtime import drop_scratch, materialize, maybe_broadcast, ship
 from .words import Words, iter_words
 from .workers import tidy
 
-VOCABULARY = 16_384
-KEEP = 2
 DISCOUNT = 0.75
 SMOOTH = 0.5
 SHARD = 4_000_000
+SLICE = 2_000_000
 FLUSH = 2_000_000
 
 
@@ -66,8 +67,8 @@ class Counter:
         return out
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, ascending."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the words that were seen more than once, ascending, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counter(1)
@@ -80,13 +81,15 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
                     yield emit(*c.take())
         yield emit(*c.take())
 
-    counts = docs.select("text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(size).select("h").toArrow().column("h").to_numpy()
-    return np.sort(top.view(np.uint64) if len(top) else np.zeros(0, np.uint64))
+    counts = materialize(docs.select("text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    known = counts.where("n > 1").select("h").toArrow().column("h").to_numpy()
+    words = counts.count()
+    drop_scratch(counts)
+    return np.sort(known.view(np.uint64) if len(known) else np.zeros(0, np.uint64)), words
 
 
 def token_ids(w: Words, known: np.ndarray) -> np.ndarray:
-    """Vocabulary places of words; len(known) for unknown ones."""
+    """Places of words among those seen more than once; len(known) for words seen once."""
     if not len(known):
         return np.zeros(len(w.hashes), np.int64)
     at = np.minimum(np.searchsorted(known, w.hashes), len(known) - 1)
@@ -102,26 +105,14 @@ def pairs_of(w: Words, known: np.ndarray) -> np.ndarray:
     return before * (len(known) + 2) + ids
 
 
-class Model:
-    """Both models: back-off by word, losses of the kept pairs in shards."""
+def train(docs: DataFrame, shared) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written counts. docs: text, target; shared: broadcast of the words seen more than once.
 
-    def __init__(self, known: np.ndarray, contexts: dict[str, np.ndarray], words: dict[str, np.ndarray]) -> None:
-        self.known, self.width = known, len(known) + 2
-        self.total = {m: float(words[m].sum()) for m in words}
-        self.context = contexts
-        self.unigram = {m: np.log((words[m] + SMOOTH) / (self.total[m] + SMOOTH * self.width)) for m in words}
-        self.backoff = {m: np.zeros(self.width) for m in words}
-
-    def gain(self, m: str, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Discounted relative frequencies of pairs."""
-        c = self.context[m][keys // self.width]
-        return np.where(counts > 0, (counts - DISCOUNT) / np.maximum(c, 1), 0.0)
-
-
-def train(docs: DataFrame, known: np.ndarray) -> tuple[Model, DataFrame, int]:
-    """The model's back-off, the written kept pairs (key, b, t), and their number. docs: text, target."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known)
+    Contexts (i, b, t: tokens after the word; kb, kt: different ones), words (i, b, t: tokens) and pairs seen more than
+    once (key, b, t); no entries of words seen once.
+    """
+    width = len(shared.value) + 2
+    once = width - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counter(2)
@@ -142,85 +133,102 @@ def train(docs: DataFrame, known: np.ndarray) -> tuple[Model, DataFrame, int]:
 
     pairs = docs.select("text", "target").mapInArrow(tidy(run), "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     pairs = materialize(pairs, "pairs")
-    width = len(known) + 2
+    before, word = F.floor(F.col("key") / width).alias("i"), F.pmod("key", F.lit(width)).alias("i")
+    # pairs that end in a word seen once share a key, but are as many pairs
+    kinds = [F.sum(F.when(F.pmod("key", F.lit(width)) == once, F.col(m)).otherwise((F.col(m) > 0).cast("long"))).alias(f"k{m}") for m in "bt"]
+    both = [F.sum(m).alias(m) for m in "bt"]
+    contexts = materialize(pairs.groupBy(before).agg(*both, *kinds).where(F.col("i") != once), "contexts")
+    words = materialize(pairs.groupBy(word).agg(*both), "words")
+    return contexts, words, pairs.where((F.col("b") > 1) & (F.floor(F.col("key") / width) != once) & (F.pmod("key", F.lit(width)) != once))
+
+
+def _slice(df: DataFrame, k: int, step: int, width: int, *columns: str) -> list[np.ndarray]:
+    """Columns by i for k * step <= i < (k + 1) * step."""
+    rows = df.where((F.col("i") >= k * step) & (F.col("i") < (k + 1) * step)).select("i", *columns).toArrow()
+    out = [np.zeros(min(step, width - k * step)) for _ in columns]
+    for x, c in zip(out, columns, strict=True):
+        x[rows.column("i").to_numpy() - k * step] = rows.column(c).to_numpy()
+    return out
 
-    def sums(key) -> dict[str, np.ndarray]:
-        out = {m: np.zeros(width) for m in "bt"}
-        rows = pairs.groupBy(key.cast("int").alias("i")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()
-        for m in "bt":
-            out[m][rows.column("i").to_numpy()] = rows.column(m).to_numpy()
-        return out
 
-    model = Model(known, sums(F.floor(F.col("key") / width)), sums(F.pmod("key", F.lit(width))))
-    kept = pairs.where(F.col("b") >= KEEP)
-    spent = kept.groupBy(F.floor(F.col("key") / width).cast("int").alias("i")).agg(
-        *[F.sum(F.when(F.col(m) > 0, F.col(m) - DISCOUNT).otherwise(0.0)).alias(m) for m in "bt"], F.count("*").alias("n")).toArrow()
-    for m in "bt":
-        used = np.zeros(width)
-        used[spent.column("i").to_numpy()] = spent.column(m).to_numpy()
-        model.backoff[m] = np.log(np.maximum(1 - used / np.maximum(model.context[m], 1), 1e-9))
-    return model, kept, int(spent.column("n").to_numpy().sum())
-
-
-def _shards(model: Model, kept: DataFrame, n: int) -> list:
-    """Broadcasts of (sorted keys, loss differences target - background and target losses against the back-off)."""
-    spark = kept.sparkSession
-    count = max(1, -(-n // SHARD))
-    out = []
-    for k in range(count):
-        part = kept if count == 1 else kept.where(F.pmod(F.xxhash64("key"), F.lit(count)) == k)
-        rows = part.toArrow()
-        keys = rows.column("key").to_numpy()
-        order = np.argsort(keys)
-        keys = keys[order]
-        u, v = keys // model.width, keys % model.width
-        more = {}
-        for m in "bt":
-            far = model.backoff[m][u] + model.unigram[m][v]
-            near = np.log(model.gain(m, keys, rows.column(m).to_numpy()[order]) + np.exp(far))
-            more[m] = (far - near).astype(np.float32)  # what the loss changes where the pair is kept
-        out.append(spark.sparkContext.broadcast((keys, more["t"], more["b"])))
-    return out
+def _shard(pairs: DataFrame) -> list[np.ndarray]:
+    """Ascending keys and their counts."""
+    rows = pairs.select("key", F.col("b").cast("double"), F.col("t").cast("double")).toArrow()
+    order = np.argsort(rows.column("key").to_numpy())
+    return [rows.column(c).to_numpy()[order] for c in ("key", "b", "t")]
+
+
+def _place(keys: np.ndarray, n: int) -> np.ndarray:
+    """The shard, of n, of each key; the same as in _placed."""
+    return keys % 1_000_003 % n
+
+
+def _placed(n: int) -> Column:
+    return F.col("key") % 1_000_003 % n
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats per token), score (their difference)."""
     spark = docs.sparkSession
     ship(spark)
-    known = vocabulary(docs, size)
+    known, distinct = vocabulary(docs)
     good = materialize(labels.where("quality > 0 and doc_id is not null").select("doc_id").distinct(), "target-ids")
-    flagged = docs.select("doc_id", "text").join(maybe_broadcast(good.withColumn("target", F.lit(True)), good.count()), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    model, kept, n = train(flagged, known)
-    shards = _shards(model, kept, n)
-    base = spark.sparkContext.broadcast((known, {m: (model.backoff[m], model.unigram[m]) for m in "bt"}))
+    df = docs.select("doc_id", "text").join(maybe_broadcast(good.withColumn("target", F.lit(True)), good.count()), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    numbers = spark.sparkContext.broadcast(known)
+    contexts, words, pairs = train(df.select("text", "target"), numbers)
+    width, step = len(known) + 2, SLICE
+    slices = -(-width // step)
+    of = words.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
+    total = {"b": float(of.b or 0), "t": float(of.t or 0)}
+    cell = [F.floor(F.floor(F.col("key") / width) / step), F.floor(F.pmod("key", F.lit(width)) / step)]
+    sizes = {(r.u, r.v): r["count"] for r in pairs.groupBy(cell[0].alias("u"), cell[1].alias("v")).count().collect()}
+    passes = [(u, v, k, n) for u in range(slices) for v in range(slices) for n in [max(1, -(-sizes.get((u, v), 0) // SHARD))] for k in range(n)]
+    before = [spark.sparkContext.broadcast(_slice(contexts, u, step, width, "b", "t", "kb", "kt")) for u in range(slices)]
+    after = [spark.sparkContext.broadcast(_slice(words, v, step, width, "b", "t")) for v in range(slices)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("lt"), F.lit(0.0).alias("lb"))
-    for k, shard in enumerate(shards):
-        keep_text = k + 1 < len(shards)
-
-        def run(batches: Iterator[pa.RecordBatch], shard=shard, first=k == 0, keep_text=keep_text) -> Iterator[pa.RecordBatch]:
-            words, far = base.value
-            keys, *more = shard.value
-            width = len(words) + 2
+    df = df.withColumns({"n": F.lit(0).cast("long"), "lt": F.lit(0.0), "lb": F.lit(0.0)})
+    written = None
+    for turn, (u, v, k, n) in enumerate(passes):
+        part = pairs if len(passes) == 1 else pairs.where((cell[0] == u) & (cell[1] == v) & (_placed(n) == k))
+        shard = spark.sparkContext.broadcast(_shard(part))
+        last = turn + 1 == len(passes)
+
+        def run(batches: Iterator[pa.RecordBatch], shard=shard, contexts=before[u], words=after[v], u=u, v=v, k=k, n=n, last=last) -> Iterator[pa.RecordBatch]:
+            keys, *seen = shard.value
             for batch in batches:
-                n, losses = np.zeros(batch.num_rows, np.int64), [batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("lt", "lb")]
+                lengths, losses = np.zeros(batch.num_rows, np.int64), [batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("lb", "lt")]
+                target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
                 for w in iter_words(batch.column("text")):
-                    n[w.first : w.last] = np.diff(w.doc)
-                    some = np.flatnonzero(np.diff(w.doc))
-                    if not len(some):
+                    lengths[w.first : w.last] = np.diff(w.doc)
+                    pair = pairs_of(w, numbers.value)
+                    doc = np.repeat(np.arange(w.first, w.last), np.diff(w.doc))
+                    i, j = pair // width, pair % width
+                    if n > 1 or slices > 1:
+                        mine = np.flatnonzero((i // step == u) & (j // step == v) & (_place(pair, n) == k))
+                        pair, doc, i, j = pair[mine], doc[mine], i[mine], j[mine]
+                    if not len(pair):
                         continue
-                    mine = pairs_of(w, words)
-                    at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-                    hit = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
-                    for loss, m, change in zip(losses, "tb", more, strict=True):
-                        each = np.zeros(len(mine))
-                        if first:
-                            each -= far[m][0][mine // width] + far[m][1][mine % width]
-                        each[hit] += change[at[hit]]
-                        loss[w.first + some] += np.add.reduceat(each, w.doc[:-1][some])
-                columns = {"doc_id": batch.column("doc_id")} | ({"text": batch.column("text")} if keep_text else {})
-                yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(n), "lt": pa.array(losses[0]), "lb": pa.array(losses[1])})
-
-        df = df.mapInArrow(tidy(run), f"doc_id {kind}, " + "text string, " * keep_text + "n long, lt double, lb double")
+                    at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+                    hit = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+                    for m, loss in enumerate(losses):
+                        one = target[doc].astype(float) if m else np.ones(len(doc))  # counts of what was seen once
+                        x = one.copy()
+                        x[hit] = seen[m][at[hit]]
+                        c, d = (np.where(i == width - 2, one, contexts.value[s][i - u * step]) for s in (m, m + 2))
+                        f = np.where(j == width - 2, one, words.value[m][j - v * step])
+                        near = np.where(x > 0, x - DISCOUNT, 0.0) / np.maximum(c, 1)
+                        far = np.where(c > 0, DISCOUNT * d / np.maximum(c, 1), 1.0)
+                        p = near + far * (f + SMOOTH) / (total["bt"[m]] + SMOOTH * distinct)
+                        loss += np.bincount(doc, -np.log(p), len(loss))
+                columns = {"doc_id": batch.column("doc_id")} | ({} if last else {"text": batch.column("text"), "target": batch.column("target")})
+                yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(lengths), "lt": pa.array(losses[1]), "lb": pa.array(losses[0])})
+
+        df = df.mapInArrow(tidy(run), f"doc_id {kind}, " + "text string, target boolean, " * (not last) + "n long, lt double, lb double")
+        if not last:  # one pass at a time, so that only its shard is in memory
+            df = materialize(df, "losses")
+            if written is not None:
+                drop_scratch(written)
+            written = df
+            shard.destroy()
     per = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     return df.select("doc_id", F.col("n").alias("n_tokens"), per("lt").alias("target_loss"), per("lb").alias("background_loss"), (per("lt") - per("lb")).alias("score"))

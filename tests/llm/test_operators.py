@@ -304,6 +304,43 @@ def test_every_term_that_passes_is_kept(spark):
     assert len(passed) > 1_024 and {int(k) for k in model.keys} == passed
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scores_equal_a_plain_bigram_model(spark, texts, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(lmscore, "SHARD", 150)
+        monkeypatch.setattr(lmscore, "SLICE", 200)
+    # more words than any fixed vocabulary of 2^14, most of them seen once or twice
+    rnd = random.Random(8)
+    rare = [f"r{k}" for k in range(18_000)]
+    more = [*texts[:72], " ".join(rare), " ".join(rnd.sample(rare, 3_000))] if not small else texts[:74]
+    split = [words_of(t) for t in more]
+    good = {i for i in range(len(more)) if i % 3 == 0}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(len(more))], "doc_id long, quality int, toxic int")
+    pairs, context, kinds, unigram = ({"b": defaultdict(int), "t": defaultdict(int)} for _ in range(4))
+    for i, words in enumerate(split):
+        for m in "bt" if i in good else "b":
+            for u, v in zip([None, *words], words, strict=False):
+                kinds[m][u] += (u, v) not in pairs[m]
+                pairs[m][u, v] += 1
+                context[m][u] += 1
+                unigram[m][v] += 1
+
+    def loss(m, words):
+        total, out = sum(unigram[m].values()) + lmscore.SMOOTH * len(unigram["b"]), 0.0
+        for u, v in zip([None, *words], words, strict=False):
+            c, n = context[m].get(u, 0), pairs[m].get((u, v), 0)
+            p = (unigram[m].get(v, 0) + lmscore.SMOOTH) / total
+            out -= np.log(max(n - lmscore.DISCOUNT, 0) / c + lmscore.DISCOUNT * kinds[m][u] / c * p if c else p)
+        return out / len(words)
+
+    got = {r.doc_id: r for r in lmscore.score(docs_of(spark, more), labels).collect()}
+    for i, words in enumerate(split):
+        assert got[i].n_tokens == len(words)
+        if words:
+            t, b = loss("t", words), loss("b", words)
+            assert abs(got[i].target_loss - t) < 1e-9 and abs(got[i].background_loss - b) < 1e-9 and abs(got[i].score - t + b) < 1e-9
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
