@@ -324,6 +324,12 @@ def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("block"), "text")
 
 
+def _ranked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in blocks of 32 consecutive ones of the order, as in rank_blocks."""
+    d = ordering.running(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", {"n": F.lit(1)})
+    return d.select("doc_id", "text", (F.col("n") - 1).alias("rank"), F.floor((F.col("n") - 1) / 32).alias("block"))
+
+
 _POS = "SELECT doc_id, doc_id // 8 AS block, strlen(text) AS size, hex(encode(text)) AS hx FROM documents"
 _TRI = f"SELECT doc_id, block, size, i, substr(hx, 2 * i - 1, 4) AS ctx, substr(hx, 2 * i - 1, 6) AS gram FROM (SELECT *, unnest(range(1, size - 1)) AS i FROM ({_POS}))"
 _LOSS = (
@@ -346,15 +352,15 @@ def trigram_edge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _blocked(spark, sf_dir)
-    return causal.path_scores(d.select("block", "doc_id", F.col("doc_id").alias("rank")), causal.edge_scores(d)).select("block", _round("bits", 4).alias("bits"))
+    d = _ranked_blocks(spark, sf_dir)
+    return causal.path_scores(d.select("block", "doc_id", "rank"), causal.edge_scores(d)).select("block", _round("bits", 4).alias("bits"))
 
 
 @query()
 def block_optimise(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    d = _blocked(spark, sf_dir)
-    return causal.optimise(d.select("block", "doc_id", F.col("doc_id").alias("rank")), causal.edge_scores(d))
+    d = _ranked_blocks(spark, sf_dir)
+    return causal.optimise(d.select("block", "doc_id", "rank"), causal.edge_scores(d))
 
 
 @query("SELECT d::INT AS dim, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM (SELECT generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.functions import urls as ur
 from quillstone.operators import causal, ordering
+from quillstone.plans import QUERIES
 from quillstone.runtime import ship
 
 
@@ -67,6 +68,22 @@ def test_edge_scores_equal_the_loop_and_paths_add_them(spark):
     assert sorted(r.doc_id for r in best) == list(range(5)) and best[0].block_bits <= base + 1e-6
 
 
+def test_blocks_hold_32_consecutive_documents_of_sparse_ids(spark, tmp_path):
+    texts = {7 * i + 3: f"abra {i % 5} cadabra {'the cat ' * (i % 3)}hat {i}" for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = sorted(texts)
+    raw = [texts[i].encode() for i in ids]
+    got = {r.block: r.bits for r in QUERIES["block_path_score"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1]
+    for block, (a, b) in enumerate([(0, 32), (32, 40)]):
+        assert abs(got[block] - sum(_score(raw[i], raw[i + 1]) for i in range(a, b - 1))) < 1e-3
+    best = QUERIES["block_optimise"](spark, str(tmp_path)).collect()
+    for block, members in enumerate([ids[:32], ids[32:]]):
+        mine = sorted((r for r in best if r.block == block), key=lambda r: r["rank"])
+        assert sorted(r.doc_id for r in mine) == members and mine[0].block_bits <= got[block] + 1e-3
+        assert abs(mine[0].block_bits - sum(_score(texts[x.doc_id].encode(), texts[y.doc_id].encode()) for x, y in zip(mine, mine[1:], strict=False))) < 1e-3
+
+
 def test_entropy_and_histogram(spark):
     ship(spark)
     r = spark.createDataFrame([("aabb",), ("",), (None,)], "t string").select(tx.byte_histogram("t").alias("h")).select(tx.entropy(F.col("h")).alias("e")).collect()
