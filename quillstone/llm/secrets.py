@@ -29,7 +29,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(r"""\b(?:pwd|pass|passphrase|passcode|password|passwd|secret|token|credentials?|auth|bearer|api_?key|(?:private|access|secret|client)_(?:key|secret))\b["']?\x20*[:=]\x20*["']?([^\s"'<>]{6,})""", re.IGNORECASE | re.ASCII)
+# A key word may end any identifier; short ones, which also end other words, not after a letter. A bare "bearer" needs a digit in its value.
+CONTEXT = re.compile(
+    r"""(?:(?:(?:(?<![A-Za-z])(?:pwd|pass|auth|bearer)|passphrase|passcode|password|passwd|secret|token|credentials?|api_?key|(?:private|access|client)_(?:key|secret))(?:_?key)?|(?<![A-Za-z])authorization)"""
+    r"""["']?\x20*[:=]\x20*["']?(?:bearer\x20+["']?)?|(?<![A-Za-z])bearer\x20+["']?(?=[^\s"'<>]*[0-9]))([^\s"'<>]{6,})""", re.IGNORECASE | re.ASCII)
+BEARER = re.compile("bearer\x20", re.IGNORECASE | re.ASCII)
 USERINFO = re.compile(r"://[^\s/:@]+:([^\s/@]{6,})@", re.ASCII)
 
 # Common passwords and words, the most common first.
@@ -116,7 +120,7 @@ def find(text: str, threshold: float = THRESHOLD, has_hex: bool = True) -> list[
         out += [(m.start(), m.end(), "access", 0.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if has_hex:
         out += [(m.start(), m.end(), "hex", 0.0) for m in HEX.finditer(text)]
-    values = {m.span(1) for m in CONTEXT.finditer(text)} if ":" in text or "=" in text else set()
+    values = {m.span(1) for m in CONTEXT.finditer(text)} if ":" in text or "=" in text or BEARER.search(text) else set()
     if "://" in text:
         values |= {m.span(1) for m in USERINFO.finditer(text)}
     for a, b in values:
@@ -134,12 +138,13 @@ def _flagged(column: pa.Array) -> list[tuple[int, bool]]:
         a, b = int(offsets[i]), int(offsets[i + 1])
         raw = data[a:b].tobytes()
         hexes = _HEX_BYTES.search(raw) is not None
-        if hexes or b":" in raw or b"=" in raw or b"AKIA" in raw:
+        if hexes or b":" in raw or b"=" in raw or b"AKIA" in raw or _BEARER_BYTES.search(raw):
             out.append((i, hexes))
     return out
 
 
 _HEX_BYTES = re.compile(rb"[0-9a-f]{32}")
+_BEARER_BYTES = re.compile(rb"bearer\x20", re.IGNORECASE)
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -125,6 +125,20 @@ def test_secrets(spark):
     assert secrets.guess_cost("password1") < 3 < secrets.guess_cost("2024-01-02qwertyuiop") < secrets.guess_cost("xK9$mQ2!vR7z")
 
 
+def test_credential_contexts_with_prefixes(spark):
+    found = {
+        "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG": "wJalrXUtnFEMI/K7MDENG",
+        "secret_access_key=wJalrXUtnFEMI/K7": "wJalrXUtnFEMI/K7", "DB_PASS=Xk9$vT2!qLm8": "Xk9$vT2!qLm8", "db_password: Xk9$vT2!qLm8zz": "Xk9$vT2!qLm8zz", "dbPassword='Xk9$vT2!qLm8'": "Xk9$vT2!qLm8",
+        "my_api_key=#Xk9vT2qLm8w": "#Xk9vT2qLm8w", "Authorization: Bearer Zx81kQpw99mN": "Zx81kQpw99mN", "-H 'bearer Zx81kQpw99mN'": "Zx81kQpw99mN", "auth = Bearer Zx_kQpw$mNvq": "Zx_kQpw$mNvq", "pwd: xK9$mQ2!vR7z": "xK9$mQ2!vR7z",
+    }
+    texts = [*found, "compass: northwestward", "the bearer knowledgeably walked", "db_password: password1"]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    for d, text in enumerate(texts):
+        assert [text[x.start : x.end] for x in got[d].found if x.kind == "guess"] == ([found[text]] if text in found else [])
+        assert text not in found or found[text] not in clean[d]
+
+
 def test_sharding(spark):
     texts = ["a", "é", None, "a"] * 200
     rows = sharding.assign(docs_of(spark, texts)).collect()
