@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and guess costs of values in credential contexts by dynamic programming.
 
 A value's guess cost (log10 of the guesses needed) is the least sum over its segmentations into common words, dates,
-repeats, keyboard walks and brute-force characters. Values in credential contexts (also ones that the fixed patterns
+repeats, keyboard walks (of any length from any place) and brute-force characters. Values in credential contexts (also ones that the fixed patterns
 don't know) whose cost reaches a threshold become spans of kind `guess`; spans of the fixed patterns always stay.
 
 Defined cases: a null text is empty and has no spans; empty tables give no rows; values and texts of any length are
@@ -66,27 +66,31 @@ def guess_cost(value: str) -> float:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    walk = [1] * (n + 1)  # length of the keyboard walk that ends before i
-    for i in range(1, n):
-        walk[i + 1] = walk[i] + 1 if low[i - 1 : i + 1] in WALK else 1
     # walks from i: how far one goes on
-    onward = [1] * (n + 1)
+    onward = [1] * n
     for i in range(n - 2, -1, -1):
         onward[i] = onward[i + 1] + 1 if low[i : i + 2] in WALK else 1
     repeat = {p: _periods(low, p) for p in (1, 2, 3, 4)}
+    walks = _Starts(1)
+    repeats = {p: _Starts(p) for p in repeat}
+
+    def closed(i: int) -> float:
+        return min(walks.cheapest(i, 3) + math.log10(47), *[r.cheapest(i, 2 * p + (p == 1)) for p, r in repeats.items()])
+
     for i in range(n):
-        base = best[i]
+        # walks and repeats may begin and end anywhere in a run
+        base = best[i] = min(best[i], closed(i))
 
         def offer(end: int, cost: float, base: float = base) -> None:
             if base + cost < best[end]:
                 best[end] = base + cost
 
         offer(i + 1, _brute(value[i]))
-        if onward[i] >= 3:  # a walk may be left at any point, but leaving it whole or never costs least
-            offer(i + onward[i], SEGMENT + math.log10(47 * onward[i]))
+        if onward[i] >= 3:
+            walks.add(i, i + onward[i], base + SEGMENT)
         for p, run in repeat.items():
             if run[i] >= 2 * p + (p == 1):
-                offer(i + run[i] // p * p, SEGMENT + sum(map(_brute, value[i : i + p])) + math.log10(run[i] // p))
+                repeats[p].add(i, i + run[i], base + SEGMENT + sum(map(_brute, value[i : i + p])))
         if m := DATE.match(low, i):
             offer(m.end(), SEGMENT + (math.log10(119) if m.end() - i == 4 else math.log10(365 * 119)))
         for size in range(3, min(LONGEST, n - i) + 1):
@@ -99,7 +103,41 @@ def guess_cost(value: str) -> float:
                     continue
             ups = sum(c.isupper() for c in value[i : i + size])
             offer(i + size, SEGMENT + math.log10(RANK[word]) + swaps + (0 if not ups else math.log10(2) if ups in (1, size) else math.log10(math.comb(size, min(ups, size - ups)) + 1)))
-    return best[n]
+    return min(best[n], closed(n))
+
+
+class _Starts:
+    """Open starts of segments in runs, by their place modulo p; a segment costs its start and log10(length / p).
+
+    A start that an earlier one of its run undercuts never wins again, since their costs only draw closer; few are left.
+    """
+
+    def __init__(self, p: int) -> None:
+        self.p, self.runs = p, {}
+
+    def add(self, i: int, end: int, cost: float) -> None:
+        """A start at i in a run up to end."""
+        if end not in self.runs:
+            self.runs[end] = [[] for _ in range(self.p)]
+        self.runs[end][i % self.p].append((i, cost))
+
+    def cheapest(self, i: int, least: int) -> float:
+        """The least cost of a segment of at least so many characters that ends before i."""
+        found = math.inf
+        for end, starts in list(self.runs.items()):
+            if end < i:
+                del self.runs[end]
+                continue
+            kept, low = [], math.inf
+            for s, cost in starts[i % self.p]:
+                now = cost + math.log10((i - s) // self.p)
+                if now < low:
+                    low = now
+                    kept.append((s, cost))
+                    if i - s >= least:
+                        found = min(found, now)
+            starts[i % self.p] = kept
+        return found
 
 
 def _periods(s: str, p: int) -> list[int]:
