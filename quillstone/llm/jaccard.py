@@ -1,12 +1,14 @@
-"""N-gram Jaccard join: a MinHash LSH forest over sets of word shingles, then exact verification.
+"""N-gram Jaccard join: banded MinHash over sets of word shingles, then exact verification.
 
-Each document's set of 5-word shingles gets TREES labels of MinHash values; a tree is the trie of one label. Matched
-prefixes are shortened, from DEPTH values on, until pairs at the threshold share a prefix in some tree with the target
-recall; documents under one trie node are candidates. A pair is verified once, in the first tree where it meets, on
-whole shingle sets; so no pairs are emitted, only each document's links and a spanning forest of them.
+Each document's set of 5-word shingles gets TREES labels of MinHash values. The length of the labels is fixed before any
+data is seen: the longest, up to DEPTH values, with which pairs at the threshold share a label with the target recall.
+An LSH forest would shorten prefixes adaptively, for the nearest of a query; here all pairs over one known threshold are
+asked for, and the length that it needs follows from the threshold. Documents of one label (a node) are candidates. A
+pair is verified once, in the first tree where it meets, on whole shingle sets; so no pairs are emitted, only each
+document's links and a spanning forest of them.
 
 Documents with equal shingle sets form a class before anything is compared, so exact copies cost one aggregation.
-Trie nodes of many documents are dealt out as pairs of blocks of bounded rows and bytes. Sets are of 64-bit hashes.
+Nodes of many documents are dealt out as pairs of blocks of bounded rows and bytes. Sets are of 64-bit hashes.
 
 Defined cases: a document without words (null, empty) has no links and a class of its own; one of fewer than 5 words
 has one shingle, all its words; repeated rows and equal texts are links of each other; a null doc_id sorts first;
@@ -38,9 +40,11 @@ _EMPTY = 1e-9
 
 
 def stop_depth(threshold: float, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Shorten the matched prefix until pairs at the threshold share one in some tree with the target recall."""
+    """The longest labels with which pairs at the threshold share one in some tree with the target recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
+    if 1 - (1 - threshold**depth) ** trees < recall:
+        raise ValueError(f"{trees} trees can't reach a recall of {recall} at a threshold of {threshold}")
     return depth
 
 
@@ -67,7 +71,7 @@ def _prints(sh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _labels(sh: np.ndarray, at: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The trie node of each document in each tree: a hash of the label's first depth values."""
+    """The node of each document in each tree: a hash of the label's depth values."""
     out = np.empty((len(at), trees), np.uint64)
     for t in range(trees):
         node = np.full(len(at), t + 1, np.uint64)

@@ -220,6 +220,12 @@ def test_jaccard_equals_brute_force(spark, texts):
     assert kept == sorted({got[i].class_id for i in got})
 
 
+def test_labels_too_few_for_the_recall_are_an_error():
+    assert jaccard.stop_depth(0.8) == 3 and jaccard.stop_depth(0.5) == 1
+    with pytest.raises(ValueError, match="recall"):
+        jaccard.stop_depth(0.4)
+
+
 def test_hot_group_is_dealt_out_as_blocks(spark, monkeypatch):
     base = [f"w{k}" for k in range(200)]
     texts = [" ".join([*base, f"tail{i}"]) for i in range(60)]
