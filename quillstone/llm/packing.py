@@ -7,9 +7,11 @@ cut, what a queue has sent after k rounds has a closed form, floor(k x quantum);
 of its own tokens from the queues' totals alone: counts of (task, source) are summed, and no document is shuffled.
 The rounds' tokens follow each other without gaps, so only the last sequence can be short.
 
-Defined cases: a null text is empty, an empty document is its end token alone; a null source is the queue ''; with
-more than QUEUES sources, sources share queues by hash; repeated rows are packed each; an empty table gives no rows;
-further columns are ignored.
+Up to QUEUES sources, every task holds all totals. With more, totals stay in tables: each task finds the rounds of its
+tokens from their own queue's total, and running sums over (round, queue) give the places; the result is the same.
+
+Defined cases: a null text is empty, an empty document is its end token alone; a null source is the queue ''; repeated
+rows are packed each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running
 from ..runtime import materialize, maybe_broadcast, ship
 from .tokens import encoder
 from .workers import tidy
@@ -37,8 +40,6 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """A written table of doc_id, queue, part (task), at (tokens of this queue before it in the task), n, ids (bytes)."""
     ship(docs.sparkSession)
     queue = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if docs.select(queue.alias("q")).distinct().count() > QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(QUEUES)).cast("string")
     rows = docs.select("doc_id", queue.alias("queue"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -65,6 +66,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     return materialize(rows.mapInArrow(tidy(run, tokens=True), f"doc_id {kind}, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
+def _weight(weights: dict[str, float], queue: str, total: int, rest: int) -> int:
+    """A queue's weight: the given one, else its own share."""
+    return max(1, round((weights.get(queue, 0) or total / rest) * 10**9))
+
+
 class Rounds:
     """What each queue has sent after k rounds, and where its tokens stand in the packed stream."""
 
@@ -73,8 +79,7 @@ class Rounds:
         self.total = [totals[q] for q in self.names]
         if weights:
             rest = sum(self.total) or 1
-            share = [weights.get(q, 0) or t / rest for q, t in zip(self.names, self.total, strict=True)]
-            self.weight = [max(1, round(x * 10**9)) for x in share]
+            self.weight = [_weight(weights, q, t, rest) for q, t in zip(self.names, self.total, strict=True)]
         else:
             self.weight = list(self.total)
         self.of = {q: k for k, q in enumerate(self.names)}
@@ -102,6 +107,53 @@ class Rounds:
             done += take
 
 
+def _placed(placed: DataFrame, totals: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
+    """A row for each run of a document's tokens in a round: doc_id, queue, first, size, n, ids, at (place in the packed stream)."""
+    rest = totals.agg(F.sum("total")).first()[0] or 1
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("queue").to_pylist(), batch.column("total").to_pylist(), strict=True)
+            yield batch.append_column("weight", pa.array([_weight(weights, q, t, rest) if weights else t for q, t in rows], pa.int64()))
+
+    weighed = materialize(totals.mapInArrow(tidy(weigh), "queue string, total long, weight long"), "queue-weights")
+    whole = weighed.agg(F.sum("weight")).first()[0] or 1
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, t, w in zip(*(batch.column(c).to_pylist() for c in ("queue", "total", "weight")), strict=True):
+                ks, sizes, x = [], [], 0
+                while x < t:
+                    k = -((x + 1) * whole // -(window * w)) - 1  # the round that sends token x
+                    then = min(t, (k + 1) * window * w // whole)
+                    ks.append(k)
+                    sizes.append(then - x)
+                    x = then
+                    if len(ks) == 10_000 or x == t:
+                        yield pa.RecordBatch.from_pydict({"queue": pa.array([q] * len(ks), pa.string()), "round": pa.array(ks, pa.int64()), "sent": pa.array(sizes, pa.int64())})
+                        ks, sizes = [], []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("row", "round", "inner", "first", "size", "ids")}
+            for r, (at, n, t, w, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "n", "total", "weight", "ids")), strict=True)):
+                done, width = 0, len(blob) // n
+                while done < n:
+                    k = -((at + done + 1) * whole // -(window * w)) - 1
+                    take = min(n - done, min(t, (k + 1) * window * w // whole) - at - done)
+                    for c, v in (("row", r), ("round", k), ("inner", at + done - min(t, k * window * w // whole)), ("first", done), ("size", take), ("ids", blob[width * done : width * (done + take)])):
+                        out[c].append(v)
+                    done += take
+            rows, ids = pa.array(out.pop("row"), pa.int32()), pa.array(out.pop("ids"), pa.binary())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(rows) for c in ("doc_id", "queue", "n")} | {c: pa.array(v, pa.int64()) for c, v in out.items()} | {"ids": ids})
+
+    sent = weighed.mapInArrow(tidy(segments), "queue string, round long, sent long").withColumn("o", F.struct("round", "queue"))
+    begins = running(sent, "o", {"end": F.col("sent")}).select("queue", "round", (F.col("end") - F.col("sent")).alias("begin"))
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    runs = placed.join(maybe_broadcast(weighed, weighed.count()), "queue").mapInArrow(tidy(cut), f"doc_id {kind}, queue string, n long, round long, inner long, first long, size long, ids binary")
+    return runs.join(begins, ["queue", "round"]).select("doc_id", "queue", "first", "size", "n", "ids", (F.col("begin") + F.col("inner")).alias("at"))
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, end: int = END, keep_ids: bool = False) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
@@ -110,32 +162,39 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
     """
     rows = tokenized(docs, tokenizer, end)
     sums = materialize(rows.groupBy("queue", "part").agg(F.sum("n").alias("n")), "token-sums")
-    rounds = Rounds({r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).toLocalIterator()}, weights, window)
+    totals = materialize(sums.groupBy("queue").agg(F.sum("n").alias("total")), "queue-totals")
+    many = totals.count() > QUEUES
     base = sums.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     placed = rows.join(maybe_broadcast(base, sums.count()), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    if many:
+        placed, rounds = _placed(placed, totals, weights, window), None
+    else:
+        rounds = Rounds({r.queue: r.total for r in totals.toLocalIterator()}, weights, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
             queues, starts, sizes = (batch.column(k).to_pylist() for k in ("queue", "at", "n"))
             blobs = batch.column("ids")
+            given = [batch.column(k).to_pylist() for k in ("first", "size", "at")] if many else None
             for r in range(batch.num_rows):
                 n, blob = sizes[r], blobs[r].as_py()
-                ids = np.frombuffer(blob, np.uint16 if len(blob) == 2 * n else np.uint32).astype("<u4")
+                begin, held = (given[0][r], given[1][r]) if many else (0, n)
+                ids = np.frombuffer(blob, np.uint16 if len(blob) == 2 * held else np.uint32).astype("<u4")
                 raw = memoryview(ids.tobytes())
-                for place, first, size in rounds.runs(queues[r], starts[r], n):
+                for place, first, size in [(given[2][r], 0, held)] if many else rounds.runs(queues[r], starts[r], n):
                     while size:
                         take = min(size, length - place % length)
-                        for k, v in (("row", r), ("start", first), ("length", take), ("ids_crc32", zlib.crc32(raw[4 * first : 4 * (first + take)])), ("doc_tokens", n), ("sequence_id", place // length), ("offset", place % length)):
+                        for k, v in (("row", r), ("start", begin + first), ("length", take), ("ids_crc32", zlib.crc32(raw[4 * first : 4 * (first + take)])), ("doc_tokens", n), ("sequence_id", place // length), ("offset", place % length)):
                             out[k].append(v)
                         if keep_ids:
                             out["ids"].append(ids[first : first + take].astype(np.int32).tolist())
                         place, first, size = place + take, first + take, size - take
             at = pa.array(out.pop("row"), pa.int32())
-            given = out.pop("ids")
+            pieces = out.pop("ids")
             columns = {"doc_id": batch.column("doc_id").take(at)} | {k: pa.array(v, pa.int64()) for k, v in out.items()} | {"queue": batch.column("queue").take(at)}
-            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(given, pa.list_(pa.int32()))} if keep_ids else {}))
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(pieces, pa.list_(pa.int32()))} if keep_ids else {}))
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     return placed.mapInArrow(tidy(run), schema + ", ids array<int>" * keep_ids)

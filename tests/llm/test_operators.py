@@ -101,6 +101,21 @@ def test_encoder_and_packing(spark):
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("weights", [None, {"s1": 0.6, "s4": 0.1}])
+def test_many_sources_keep_their_queues_and_weights(spark, monkeypatch, weights):
+    rnd = random.Random(9)
+    texts = ["w " * rnd.randrange(1, 400) for _ in range(120)] + [None, "é 日本"]
+    docs = docs_of(spark, texts, [f"s{rnd.randrange(7)}" for _ in texts[:-1]] + [None])
+    sort = lambda rows: sorted(tuple(r) for r in rows)
+    few = sort(packing.pack(docs, tokenizer_path(), 64, 1000, weights, keep_ids=True).collect())
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    many = sort(packing.pack(docs, tokenizer_path(), 64, 1000, weights, keep_ids=True).collect())
+    assert many == few and {r[7] for r in many} == {"", *(f"s{k}" for k in range(7))}
+    if weights:
+        lead = [r for r in many if 64 * r[5] + r[6] < 3_000]
+        assert sum(r[2] for r in lead if r[7] == "s1") > 5 * sum(r[2] for r in lead if r[7] == "s4") > 0
+
+
 def test_rounds_keep_to_the_target_proportions():
     rounds = packing.Rounds({"a": 90_000, "b": 30_000, "c": 500}, {"a": 0.5, "b": 0.5}, 1000)
     spans = sorted((p, p + n, q) for q, t in (("a", 90_000), ("b", 30_000), ("c", 500)) for p, _, n in rounds.runs(q, 0, t))
