@@ -1,234 +1,211 @@
 """Cross-entropy difference of matched target and background bigram models over one vocabulary.
 
-The vocabulary is every word of the documents, and both models know every pair of words that follow each other. Pairs
-are counted over all documents (background) and over the target ones (labelled as good), pre-aggregated in each task.
-Both models are bigrams with absolute discounting that back off to unigrams. A document's score is its mean loss per
-token under the target model less that under the background model: the lower, the more like the target.
-
-What is seen once needs no entry: the scored documents are the counted ones, so a word or pair without an entry was seen
-once, here, and as a target if this document is one. Entries of words lie in slices of SLICE words; a pass over the
-documents scores the tokens whose word before and word lie in one slice each, with at most SHARD of the pairs there. So
-a model of any size is used whole, and only two slices and one shard of it are in memory (besides 8 bytes a word that
-was seen more than once, by which words are numbered).
-
-Defined cases: a document without words (null, empty) has 0 tokens and null losses and score; without target documents
-the target model is uniform; several labels of one document count as good if one does; repeated rows each get a row;
-an empty table gives no rows; further columns are ignored.
+The vocabulary is every word of the documents and the edge of a text; both models know every pair of symbols that follow
+each other. The background model has the pairs of all documents, the target one those of documents labelled as good. A
+document is scored by both models without its own counts (leave-one-out), so it can't vouch for itself: what it shares
+with other documents, a copy say, counts, its own repetitions don't. p(v|u) mixes n(u,v) / n(u), by a weight that grows
+with n(u), with an add-SMOOTH unigram; the events of a text are its words and its end. The score is the mean loss per
+event under the target model less that under the background model: the lower, the more like the target.
+
+Counts meet by key, never on the driver: documents are gathered in written chunks of bounded bytes; a chunk sends its
+different words and pairs, as sorted 64-bit keys with their counts, to parts of the key space; a part adds up and answers
+each chunk in the order of its keys; so a hot word is one key for each chunk. A part holds about PART_KEYS keys. Only
+three totals are global. Different words or pairs with equal 64-bit hashes would share counts.
+
+Defined cases: a document without words (null, empty) has 0 tokens and null losses and score; without other target
+documents the target model is uniform; several labels of one document count as good if one does; repeated rows each get
+a row (and see each other as others); a text longer than a chunk is a chunk of its own, whole; a doc_id of any type is
+returned as it is; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import drop_scratch, materialize, maybe_broadcast, ship
-from .words import Words, iter_words
-from .workers import tidy
+from ..runtime import materialize, maybe_broadcast, ship
+from .words import buffers, iter_words, mix
+from .workers import release, tidy
 
-DISCOUNT = 0.75
 SMOOTH = 0.5
-SHARD = 4_000_000
-SLICE = 2_000_000
-FLUSH = 2_000_000
-
-
-class Counter:
-    """Sums of counts by key, merged whenever FLUSH keys wait; emitted once for each task (and FLUSH keys)."""
-
-    def __init__(self, columns: int) -> None:
-        self.columns, self.waiting, self.size = columns, [], 0
-
-    def add(self, keys: np.ndarray, counts: list[np.ndarray]) -> None:
-        self.waiting.append((keys, counts))
-        self.size += len(keys)
-
-    def merge(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        keys = np.concatenate([k for k, _ in self.waiting]) if self.waiting else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        sums = [np.add.reduceat(np.concatenate([c[j] for _, c in self.waiting])[order], at) if len(keys) else np.zeros(0, np.int64) for j in range(self.columns)]
-        self.waiting, self.size = [(keys[at], sums)], len(at)
-        return self.waiting[0]
-
-    def full(self) -> bool:
-        """Whether even merged keys are too many to keep."""
-        if self.size >= FLUSH:
-            self.merge()
-        return self.size >= FLUSH // 2
-
-    def take(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        out = self.merge()
-        self.waiting, self.size = [], 0
-        return out
+PAIR_SHARE = 0.75
+PRIOR = 1.0
+CHUNK_BYTES = 6 << 20
+PART_KEYS = 1_500_000
+EDGE = np.uint64(0x5851F42D4C957F2D)
+_WORD, _FIRST, _SECOND = (np.uint64(c) for c in (0xD1342543DE82EF95, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
+
+
+class Events(NamedTuple):
+    """What the documents of a chunk ask for, and how often each of them does."""
+
+    lengths: np.ndarray  # words of each document
+    keys: np.ndarray  # sorted keys of the chunk's words (last bit 1) and pairs (0)
+    all: np.ndarray  # how often each key comes in the chunk's documents
+    good: np.ndarray  # and in target ones
+    doc: np.ndarray  # for each different pair of a document: the document,
+    times: np.ndarray  # how often it holds the pair,
+    pair: np.ndarray  # and the places in keys of the pair
+    before: np.ndarray  # and its words
+    word: np.ndarray
+
+
+def events(texts: pa.Array, target: np.ndarray) -> Events:
+    lengths, parts = np.zeros(len(texts), np.int64), []
+    for w in iter_words(texts):
+        lengths[w.first : w.last] = np.diff(w.doc)
+        parts.append(w.hashes)
+    words, ids = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_inverse=True)
+    edge, some = len(words), np.flatnonzero(lengths)
+    words = np.append(words, EDGE)
+    sizes = lengths[some] + 1
+    ends = np.cumsum(sizes) - 1
+    v = np.full(int(sizes.sum()), edge, np.int64)
+    inner = np.ones(len(v), bool)
+    inner[ends] = False
+    v[inner] = ids
+    u = np.concatenate([[edge], v[:-1]])[: len(v)]  # the end of one text stands before the next
+    of = np.repeat(some, sizes)
+    code, pair = np.unique(u * (edge + 1) + v, return_inverse=True)
+    own, times = np.unique(of * max(1, len(code)) + pair, return_counts=True)
+    doc, pair_of = np.divmod(own, max(1, len(code)))
+    first, second = np.divmod(code, edge + 1)
+    good = target[doc] * times
+    counts = [np.bincount(pair_of, x, len(code)) for x in (times, good)]
+    of_words = [np.bincount(second, c, edge + 1) for c in counts]
+    keys = np.concatenate([mix(words * _WORD) | np.uint64(1), mix(words[first] * _FIRST + words[second] * _SECOND) & ~np.uint64(1)])
+    if not len(some):
+        keys, of_words = keys[:0], [c[:0] for c in of_words]
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    merged = [np.concatenate([a, b])[order] for a, b in zip(of_words, counts, strict=True)]
+    return Events(lengths, keys[order], *(m.astype(np.uint32) for m in merged), doc, times, place[edge + 1 + pair_of], place[first[pair_of]], place[second[pair_of]])
+
+
+def chunked(docs: DataFrame, size: int) -> DataFrame:
+    """A written row for each chunk of about size bytes: chunk, doc_id, text and target arrays."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        waiting, held = [], 0
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of the words that were seen more than once, ascending, and the number of all words."""
+        def emit() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            columns = {c: pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole.column(c).combine_chunks()) for c in whole.column_names}
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64())} | columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter(1)
-        emit = lambda k, n: pa.RecordBatch.from_pydict({"h": pa.array(k), "n": pa.array(n[0])})
         for batch in batches:
-            for w in iter_words(batch.column("text")):
-                keys, n = np.unique(w.hashes.view(np.int64), return_counts=True)
-                c.add(keys, [n])
-                if c.full():
-                    yield emit(*c.take())
-        yield emit(*c.take())
-
-    counts = materialize(docs.select("text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    known = counts.where("n > 1").select("h").toArrow().column("h").to_numpy()
-    words = counts.count()
-    drop_scratch(counts)
-    return np.sort(known.view(np.uint64) if len(known) else np.zeros(0, np.uint64)), words
-
-
-def token_ids(w: Words, known: np.ndarray) -> np.ndarray:
-    """Places of words among those seen more than once; len(known) for words seen once."""
-    if not len(known):
-        return np.zeros(len(w.hashes), np.int64)
-    at = np.minimum(np.searchsorted(known, w.hashes), len(known) - 1)
-    return np.where(known[at] == w.hashes, at, len(known))
-
-
-def pairs_of(w: Words, known: np.ndarray) -> np.ndarray:
-    """A key for each token: (word before, or the start mark) x (vocabulary + 2) + word."""
-    ids = token_ids(w, known)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[w.doc[:-1][np.diff(w.doc) > 0]] = len(known) + 1
-    return before * (len(known) + 2) + ids
-
-
-def train(docs: DataFrame, shared) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written counts. docs: text, target; shared: broadcast of the words seen more than once.
-
-    Contexts (i, b, t: tokens after the word; kb, kt: different ones), words (i, b, t: tokens) and pairs seen more than
-    once (key, b, t); no entries of words seen once.
-    """
-    width = len(shared.value) + 2
-    once = width - 2
+            offsets, _ = buffers(batch.column("text"))
+            at = 0
+            while at < batch.num_rows:
+                fit = int(np.searchsorted(offsets, offsets[at] + size - held, "right")) - 1
+                if fit > at or not held:
+                    part = batch.slice(at, max(1, fit - at))
+                    waiting.append(part)
+                    held += int(offsets[at + part.num_rows] - offsets[at]) + part.num_rows
+                    at += part.num_rows
+                if at < batch.num_rows or held >= size:
+                    yield emit()
+                    chunk, waiting, held = chunk + 1, [], 0
+        if waiting:
+            yield emit()
+
+    return materialize(docs.select("doc_id", "text", "target").mapInArrow(tidy(run), f"chunk long, doc_id array<{kind}>, text array<string>, target array<boolean>"), "chunks")
+
+
+def asked(chunks: DataFrame, parts: int) -> DataFrame:
+    """A row for each chunk and part of the key space that it asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter(2)
-        emit = lambda k, n: pa.RecordBatch.from_pydict({"key": pa.array(k), "b": pa.array(n[0]), "t": pa.array(n[1])})
         for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for w in iter_words(batch.column("text")):
-                keys = pairs_of(w, shared.value)
-                mine = np.repeat(target[w.first : w.last], np.diff(w.doc))
-                order = np.argsort(keys, kind="stable")
-                keys, mine = keys[order], mine[order].astype(np.int64)
-                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                if len(at):
-                    c.add(keys[at], [np.diff(np.append(at, len(keys))), np.add.reduceat(mine, at)])
-                if c.full():
-                    yield emit(*c.take())
-        yield emit(*c.take())
-
-    pairs = docs.select("text", "target").mapInArrow(tidy(run), "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    pairs = materialize(pairs, "pairs")
-    before, word = F.floor(F.col("key") / width).alias("i"), F.pmod("key", F.lit(width)).alias("i")
-    # pairs that end in a word seen once share a key, but are as many pairs
-    kinds = [F.sum(F.when(F.pmod("key", F.lit(width)) == once, F.col(m)).otherwise((F.col(m) > 0).cast("long"))).alias(f"k{m}") for m in "bt"]
-    both = [F.sum(m).alias(m) for m in "bt"]
-    contexts = materialize(pairs.groupBy(before).agg(*both, *kinds).where(F.col("i") != once), "contexts")
-    words = materialize(pairs.groupBy(word).agg(*both), "words")
-    return contexts, words, pairs.where((F.col("b") > 1) & (F.floor(F.col("key") / width) != once) & (F.pmod("key", F.lit(width)) != once))
-
-
-def _slice(df: DataFrame, k: int, step: int, width: int, *columns: str) -> list[np.ndarray]:
-    """Columns by i for k * step <= i < (k + 1) * step."""
-    rows = df.where((F.col("i") >= k * step) & (F.col("i") < (k + 1) * step)).select("i", *columns).toArrow()
-    out = [np.zeros(min(step, width - k * step)) for _ in columns]
-    for x, c in zip(out, columns, strict=True):
-        x[rows.column("i").to_numpy() - k * step] = rows.column(c).to_numpy()
-    return out
-
-
-def _shard(pairs: DataFrame) -> list[np.ndarray]:
-    """Ascending keys and their counts."""
-    rows = pairs.select("key", F.col("b").cast("double"), F.col("t").cast("double")).toArrow()
-    order = np.argsort(rows.column("key").to_numpy())
-    return [rows.column(c).to_numpy()[order] for c in ("key", "b", "t")]
-
-
-def _place(keys: np.ndarray, n: int) -> np.ndarray:
-    """The shard, of n, of each key; the same as in _placed."""
-    return keys % 1_000_003 % n
-
-
-def _placed(n: int) -> Column:
-    return F.col("key") % 1_000_003 % n
+            for r in range(batch.num_rows):
+                e = events(batch.column("text")[r].values, batch.column("target")[r].values.to_numpy(zero_copy_only=False).astype(bool))
+                of = ((e.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                cuts = np.searchsorted(of, np.arange(parts + 1, dtype=np.uint64))
+                held = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([p for p, _, _ in held], pa.int32()), "chunk": pa.array([batch.column("chunk")[r].as_py()] * len(held), pa.int64()),
+                    **{c: pa.array([v[a:b].tobytes() for _, a, b in held], pa.binary()) for c, v in (("keys", e.keys), ("all", e.all), ("good", e.good))},
+                })
+
+    return chunks.select("chunk", "text", "target").mapInArrow(tidy(run), "part int, chunk long, keys binary, all binary, good binary")
+
+
+def _sum(asks: pa.Table) -> pa.Table:
+    """Answers to the chunks that ask one part, in the order of their keys; told once: different words, and events of both models."""
+    blobs = [[x.as_py() for x in asks.column(c)] for c in ("keys", "all", "good")]
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs[0]])
+    order = np.argsort(keys)
+    ranked = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    cuts = np.cumsum([0, *(len(x) // 8 for x in blobs[0])]).tolist()
+    are_words = (ranked[starts] & np.uint64(1)).astype(bool)
+    told = {"words": int(are_words.sum())}
+    out = {"part": asks.column("part"), "chunk": asks.column("chunk")}
+    for c, own in zip(("all", "good"), blobs[1:], strict=True):
+        sums = np.add.reduceat(np.concatenate([np.frombuffer(x, np.uint32) for x in own]).astype(np.int64)[order], starts)
+        told[f"n_{c}"] = int(sums[are_words].sum())
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(sums, sizes)
+        out[c] = pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    out |= {k: pa.array([v] + [0] * (len(cuts) - 2), pa.int64()) for k, v in told.items()}
+    release()
+    return pa.table({c: out[c] for c in ("part", "chunk", "words", "n_all", "n_good", "all", "good")})
+
+
+def losses(e: Events, target: np.ndarray, answers: list[np.ndarray], totals: list[int], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean background and target losses of a chunk's documents, each without its own counts (NaN without words)."""
+    n, pairs = len(e.lengths), len(e.doc)
+    # a document's own counts of the word before and of the word, summed over its different pairs
+    own = []
+    for at in (e.before, e.word):
+        ids, back = np.unique(e.doc * (len(e.keys) + 1) + at, return_inverse=True)
+        own.append(np.bincount(back, e.times, len(ids))[back] if pairs else np.zeros(0))
+    out = []
+    for total, whole, mine in ((answers[0], totals[0], np.ones(n)), (answers[1], totals[1], target.astype(float))):
+        keep = mine[e.doc]
+        both = total[e.pair] - keep * e.times
+        before, word = (total[at] - keep * o for at, o in zip((e.before, e.word), own, strict=True))
+        rest = whole - mine * np.where(e.lengths > 0, e.lengths + 1, 0)
+        single = (word + SMOOTH) / (rest[e.doc] + SMOOTH * words)
+        p = PAIR_SHARE * both / (before + PRIOR) + (1 - PAIR_SHARE * before / (before + PRIOR)) * single
+        out.append(np.bincount(e.doc, -np.log(p) * e.times, n) / np.where(e.lengths > 0, e.lengths + 1, np.nan))
+    return out[0], out[1]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats per token), score (their difference)."""
-    spark = docs.sparkSession
-    ship(spark)
-    known, distinct = vocabulary(docs)
+    """doc_id, n_tokens, target_loss, background_loss (nats per event), score (their difference)."""
+    ship(docs.sparkSession)
     good = materialize(labels.where("quality > 0 and doc_id is not null").select("doc_id").distinct(), "target-ids")
-    df = docs.select("doc_id", "text").join(maybe_broadcast(good.withColumn("target", F.lit(True)), good.count()), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    numbers = spark.sparkContext.broadcast(known)
-    contexts, words, pairs = train(df.select("text", "target"), numbers)
-    width, step = len(known) + 2, SLICE
-    slices = -(-width // step)
-    of = words.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
-    total = {"b": float(of.b or 0), "t": float(of.t or 0)}
-    cell = [F.floor(F.floor(F.col("key") / width) / step), F.floor(F.pmod("key", F.lit(width)) / step)]
-    sizes = {(r.u, r.v): r["count"] for r in pairs.groupBy(cell[0].alias("u"), cell[1].alias("v")).count().collect()}
-    passes = [(u, v, k, n) for u in range(slices) for v in range(slices) for n in [max(1, -(-sizes.get((u, v), 0) // SHARD))] for k in range(n)]
-    before = [spark.sparkContext.broadcast(_slice(contexts, u, step, width, "b", "t", "kb", "kt")) for u in range(slices)]
-    after = [spark.sparkContext.broadcast(_slice(words, v, step, width, "b", "t")) for v in range(slices)]
+    marks = maybe_broadcast(good.select("doc_id", F.lit(True).alias("target")), good.count())
+    rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    chunks = chunked(rows, CHUNK_BYTES)
+    size = chunks.select(F.sum(F.aggregate(F.transform("text", F.octet_length), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0)))).alias("b")).first().b or 0
+    parts = max(1, -(-size // (6 * PART_KEYS)))  # texts have about a key for each six bytes
+    answers = asked(chunks, parts).groupBy("part").applyInArrow(_sum, "part int, chunk long, words long, n_all long, n_good long, all binary, good binary")
+    answers = materialize(answers, "answers")
+    told = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n_all", "n_good")]).first()
+    words, totals = told.words, [told.n_all, told.n_good]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    df = df.withColumns({"n": F.lit(0).cast("long"), "lt": F.lit(0.0), "lb": F.lit(0.0)})
-    written = None
-    for turn, (u, v, k, n) in enumerate(passes):
-        part = pairs if len(passes) == 1 else pairs.where((cell[0] == u) & (cell[1] == v) & (_placed(n) == k))
-        shard = spark.sparkContext.broadcast(_shard(part))
-        last = turn + 1 == len(passes)
-
-        def run(batches: Iterator[pa.RecordBatch], shard=shard, contexts=before[u], words=after[v], u=u, v=v, k=k, n=n, last=last) -> Iterator[pa.RecordBatch]:
-            keys, *seen = shard.value
-            for batch in batches:
-                lengths, losses = np.zeros(batch.num_rows, np.int64), [batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("lb", "lt")]
-                target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-                for w in iter_words(batch.column("text")):
-                    lengths[w.first : w.last] = np.diff(w.doc)
-                    pair = pairs_of(w, numbers.value)
-                    doc = np.repeat(np.arange(w.first, w.last), np.diff(w.doc))
-                    i, j = pair // width, pair % width
-                    if n > 1 or slices > 1:
-                        mine = np.flatnonzero((i // step == u) & (j // step == v) & (_place(pair, n) == k))
-                        pair, doc, i, j = pair[mine], doc[mine], i[mine], j[mine]
-                    if not len(pair):
-                        continue
-                    at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-                    hit = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-                    for m, loss in enumerate(losses):
-                        one = target[doc].astype(float) if m else np.ones(len(doc))  # counts of what was seen once
-                        x = one.copy()
-                        x[hit] = seen[m][at[hit]]
-                        c, d = (np.where(i == width - 2, one, contexts.value[s][i - u * step]) for s in (m, m + 2))
-                        f = np.where(j == width - 2, one, words.value[m][j - v * step])
-                        near = np.where(x > 0, x - DISCOUNT, 0.0) / np.maximum(c, 1)
-                        far = np.where(c > 0, DISCOUNT * d / np.maximum(c, 1), 1.0)
-                        p = near + far * (f + SMOOTH) / (total["bt"[m]] + SMOOTH * distinct)
-                        loss += np.bincount(doc, -np.log(p), len(loss))
-                columns = {"doc_id": batch.column("doc_id")} | ({} if last else {"text": batch.column("text"), "target": batch.column("target")})
-                yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(lengths), "lt": pa.array(losses[1]), "lb": pa.array(losses[0])})
-
-        df = df.mapInArrow(tidy(run), f"doc_id {kind}, " + "text string, target boolean, " * (not last) + "n long, lt double, lb double")
-        if not last:  # one pass at a time, so that only its shard is in memory
-            df = materialize(df, "losses")
-            if written is not None:
-                drop_scratch(written)
-            written = df
-            shard.destroy()
-    per = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    return df.select("doc_id", F.col("n").alias("n_tokens"), per("lt").alias("target_loss"), per("lb").alias("background_loss"), (per("lt") - per("lb")).alias("score"))
+
+    def finish(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("part")
+        got = [np.frombuffer(b"".join(x.as_py() for x in found.column(c)), np.int64) if found.num_rows else np.zeros(0, np.int64) for c in ("all", "good")]
+        ids, texts, target = (chunk.column(c).combine_chunks()[0].values for c in ("doc_id", "text", "target"))
+        good_ones = target.to_numpy(zero_copy_only=False).astype(bool)
+        e = events(texts, good_ones)
+        b, t = losses(e, good_ones, got, totals, words)
+        release()
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(e.lengths), **{c: pa.array(x, from_pandas=True) for c, x in (("target_loss", t), ("background_loss", b), ("score", t - b))}})
+
+    both = chunks.groupBy("chunk").cogroup(answers.select("chunk", "part", "all", "good").groupBy("chunk"))
+    return both.applyInArrow(finish, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")

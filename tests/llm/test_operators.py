@@ -5,11 +5,12 @@ import io
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import ann, decontam, jaccard, lmscore, packing, secrets, sharding, toxicity, urlfilter, warc
 from quillstone.llm.queries import tokenizer_path
@@ -375,38 +376,53 @@ def test_every_term_that_passes_is_kept(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_lm_scores_equal_a_plain_bigram_model(spark, texts, monkeypatch, small):
     if small:
-        monkeypatch.setattr(lmscore, "SHARD", 150)
-        monkeypatch.setattr(lmscore, "SLICE", 200)
-    # more words than any fixed vocabulary of 2^14, most of them seen once or twice
+        monkeypatch.setattr(lmscore, "CHUNK_BYTES", 3_000)
+        monkeypatch.setattr(lmscore, "PART_KEYS", 500)
     rnd = random.Random(8)
     rare = [f"r{k}" for k in range(18_000)]
-    more = [*texts[:72], " ".join(rare), " ".join(rnd.sample(rare, 3_000))] if not small else texts[:74]
+    more = [*texts, " ".join(rare), " ".join(rnd.sample(rare, 3_000)), texts[5], None]
     split = [words_of(t) for t in more]
     good = {i for i in range(len(more)) if i % 3 == 0}
-    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(len(more))], "doc_id long, quality int, toxic int")
-    pairs, context, kinds, unigram = ({"b": defaultdict(int), "t": defaultdict(int)} for _ in range(4))
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(len(more))] + [(0, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    pairs, before, single = ({"b": Counter(), "t": Counter()} for _ in range(3))
+    own = []
     for i, words in enumerate(split):
+        steps = list(zip([None, *words], [*words, None], strict=True)) if words else []
+        own.append((steps, Counter(steps), Counter(u for u, _ in steps), Counter(v for _, v in steps)))
         for m in "bt" if i in good else "b":
-            for u, v in zip([None, *words], words, strict=False):
-                kinds[m][u] += (u, v) not in pairs[m]
-                pairs[m][u, v] += 1
-                context[m][u] += 1
-                unigram[m][v] += 1
-
-    def loss(m, words):
-        total, out = sum(unigram[m].values()) + lmscore.SMOOTH * len(unigram["b"]), 0.0
-        for u, v in zip([None, *words], words, strict=False):
-            c, n = context[m].get(u, 0), pairs[m].get((u, v), 0)
-            p = (unigram[m].get(v, 0) + lmscore.SMOOTH) / total
-            out -= np.log(max(n - lmscore.DISCOUNT, 0) / c + lmscore.DISCOUNT * kinds[m][u] / c * p if c else p)
-        return out / len(words)
-
-    got = {r.doc_id: r for r in lmscore.score(docs_of(spark, more), labels).collect()}
+            for total, mine in zip((pairs, before, single), own[-1][1:], strict=True):
+                total[m].update(mine)
+    size = len(single["b"])
+
+    def loss(m, i):
+        steps, *mine = own[i]
+        keep = int(m == "b" or i in good)
+        whole = sum(single[m].values()) - keep * len(steps) + lmscore.SMOOTH * size
+        out = 0.0
+        for u, v in steps:
+            n, c, f = pairs[m][u, v] - keep * mine[0][u, v], before[m][u] - keep * mine[1][u], single[m][v] - keep * mine[2][v]
+            trust = lmscore.PAIR_SHARE * c / (c + lmscore.PRIOR)
+            out -= np.log((trust * n / c if c else 0.0) + (1 - trust) * (f + lmscore.SMOOTH) / whole)
+        return out / len(steps)
+
+    docs = docs_of(spark, more).withColumns({"target": F.lit("x"), "chunk": F.lit(1), "all": F.lit(None)})
+    got = {r.doc_id: r for r in lmscore.score(docs, labels).collect()}
+    assert len(got) == len(more)
     for i, words in enumerate(split):
         assert got[i].n_tokens == len(words)
         if words:
-            t, b = loss("t", words), loss("b", words)
+            t, b = loss("t", i), loss("b", i)
             assert abs(got[i].target_loss - t) < 1e-9 and abs(got[i].background_loss - b) < 1e-9 and abs(got[i].score - t + b) < 1e-9
+        else:
+            assert got[i].score is None
+
+
+def test_lm_scores_take_any_id_and_repeated_rows(spark):
+    rows = [(i, t) for i, t in (("a", "one two three"), ("b", "one two four"), (None, "one two three"), ("a", "one two three"), ("", ""))]
+    got = lmscore.score(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([], "doc_id string, quality int")).collect()
+    assert sorted(("-" if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == [("", 0), ("-", 3), ("a", 3), ("a", 3), ("b", 3)]
+    loss = {r.doc_id: r.background_loss for r in got if r.n_tokens}
+    assert loss["a"] < loss["b"] and len({r.target_loss for r in got if r.n_tokens}) == 1
 
 
 def test_empty_tables(spark):
