@@ -9,11 +9,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 _PACKAGE = Path(__file__).resolve().parent
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BROADCAST_BYTES = 12 << 20
 _SHIPPED: set[str] = set()
 _DIRS: list[tuple[SparkSession, str]] = []
 _LOCAL_ROOT: list[str] = []
@@ -21,8 +23,8 @@ _LOCAL_ROOT: list[str] = []
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no shared code folder."""
-    if spark.conf.get(_BATCH) == "10000":  # Spark's default; whole texts need smaller batches for bounded memory
-        spark.conf.set(_BATCH, "1000")
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:  # batches are bounded by bytes; a setting of the session's own stays
+        spark.conf.set(_BATCH, _BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -35,10 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (only then) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local master may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(f"file://{tempfile.mkdtemp(prefix='quillstone-shared-')}")
     return _LOCAL_ROOT[0]
@@ -84,9 +88,36 @@ def drop_scratch(df: DataFrame) -> None:
     remove(df.sparkSession, df._scratch_path)  # type: ignore[attr-defined]
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when the counted rows are within limit; otherwise Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def _bytes_of(c: Column, kind: DataType) -> Column:
+    """The bytes of a value: what its type fixes, and the lengths of what varies."""
+    if isinstance(kind, StructType):
+        return sum((_bytes_of(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda a, x: a + _bytes_of(x, kind.elementType)), F.lit(24))
+    return F.lit(8)
+
+
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when df, whose rows are counted, is measured within limit bytes; otherwise Spark shuffles."""
+    if rows * 8 * (len(df.columns) + 1) > limit:
+        return df
+    if not any(isinstance(f.dataType, StructType | StringType | BinaryType | ArrayType) for f in df.schema):
+        return F.broadcast(df)
+    size = df.select(F.sum(_bytes_of(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema).cast("long")).alias("b")).first().b or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores in front until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
