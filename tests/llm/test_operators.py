@@ -236,18 +236,55 @@ def test_jaccard_equals_brute_force(spark, texts):
     assert kept == sorted({got[i].class_id for i in got})
 
 
-def test_labels_too_few_for_the_recall_are_an_error():
+def test_recall_is_estimated_from_the_links_found():
     assert jaccard.stop_depth(0.8) == 3 and jaccard.stop_depth(0.5) == 1
     with pytest.raises(ValueError, match="recall"):
         jaccard.stop_depth(0.4)
+    assert jaccard.estimated_recall({}, 0.8, 6) == pytest.approx(jaccard.chance(0.8, 6))
+    near, far = {jaccard.BINS - 1: 1000}, {0: 1000}
+    assert jaccard.estimated_recall(near, 0.8, 6) > 0.9995 > jaccard.estimated_recall(far, 0.8, 6)
+    assert all(jaccard.estimated_recall(far, 0.8, d) < jaccard.estimated_recall(far, 0.8, d - 1) for d in range(6, 3, -1))
+
+
+def _brute_links(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words_of(t)) else set() for t in texts]
+    return [{j for j in range(len(sets)) if i != j and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_pairs_near_the_threshold_and_large_nodes(spark, monkeypatch, block):
+    """Groups of variants whose similarities lie on both sides of 0.8; with small blocks also as cores and pairs of blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rnd = random.Random(11)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(12):
+            t = list(base)
+            for _ in range(rnd.randrange(0, 5)):
+                t[rnd.randrange(len(t))] = f"x{rnd.randrange(10**9)}"
+            texts.append(" ".join(t))
+    hot = [f"h{k}" for k in range(150)]
+    texts += [" ".join([*hot, f"tail{i}"]) for i in range(60)] + [" ".join([*hot[: 100 + i], f"end{i}"]) for i in range(0, 50, 2)]
+    link = _brute_links(texts)
+    got = {r.doc_id: r for r in jaccard.link(docs_of(spark, texts)).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == [len(x) for x in link]
+    for i in range(len(texts)):
+        group, todo = {i}, [i]
+        while todo:
+            new = link[todo.pop()] - group
+            group |= new
+            todo += new
+        assert got[i].class_id == min(group)
 
 
-def test_hot_group_is_dealt_out_as_blocks(spark, monkeypatch):
-    base = [f"w{k}" for k in range(200)]
-    texts = [" ".join([*base, f"tail{i}"]) for i in range(60)]
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
-    got = jaccard.link(docs_of(spark, texts)).collect()
-    assert all(r.n_links == 59 and r.class_id == 0 for r in got)
+def test_dedupe_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9, "k"), (2, "a b c d e f", 1, 2, 3, "l"), (None, None, 1, 2, 3, "m"), (3, "z", 4, 5, 6, "n"), (3, "z", 4, 5, 6, "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th long, of_id long, _th long, core string")
+    got = jaccard.dedupe(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.th, r._th) for r in got.collect()) == [(0, 1, 3), (1, 7, 9), (3, 4, 6)]
+    assert jaccard.dedupe(docs.limit(0)).count() == 0
 
 
 def test_warc_round_trip(spark):
