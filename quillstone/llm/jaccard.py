@@ -384,7 +384,8 @@ def _classes(docs: DataFrame, width: int, threshold: float, trees: int, recall:
     rows = materialize(rows.repartition("tree", F.substring("path", 1, 4 * floor)).sortWithinPartitions("tree", "path"), "tries")
     sets = _sets_of(docs, reps, rows, width)
     cores = _cores(rows, sets, num, den)
-    rows = rows.join(maybe_broadcast(cores, cores.count()), "fp", "left")
+    n_cores = cores.count()
+    rows = materialize(rows.join(maybe_broadcast(cores, n_cores), "fp", "left"), "tries") if n_cores else rows.withColumn("core", F.lit(None).cast("binary"))
 
     found, bins = [], {}
     for depth in range(DEPTH, floor - 1, -1):
