@@ -31,7 +31,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), vocabulary=tokenizer_path())
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Secret scans: fixed patterns, and guess costs of values in credential contexts by dynamic programming.
 
-A value's guess cost (log10 of the guesses needed) is the least sum over its segmentations into common words, dates,
-repeats, keyboard walks (of any length from any place) and brute-force characters. Values in credential contexts (also ones that the fixed patterns
-don't know) whose cost reaches a threshold become spans of kind `guess`; spans of the fixed patterns always stay.
+A value's guess cost (log10 of the guesses needed) is the least sum over its segmentations into dictionary words, dates,
+repeats of any block of up to PERIODS characters, keyboard walks (of any length from any place) and brute-force
+characters. The dictionary is the fixed common passwords and then, by rank, the words of a public tokenizer's vocabulary
+(load_words; its order follows frequency). Values in credential contexts (also ones that the fixed patterns don't know)
+whose cost reaches a threshold become spans of kind `guess`; values that are nothing but dictionary words and separators
+are prose up to PROSE. Spans of the fixed patterns always stay.
 
 Defined cases: a null text is empty and has no spans; empty tables give no rows; values and texts of any length are
-scanned whole, in time linear in their length; repeated rows each get a row; further columns are ignored (scan) or
-kept (redact).
+scanned whole, in time linear in their length; of spans that begin together the kinds come as in KINDS; repeated rows
+each get a row; further columns, of any name, are ignored (scan) or kept (redact).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -25,6 +29,8 @@ from .words import buffers
 from .workers import tidy, with_texts
 
 THRESHOLD = 8.0
+PROSE = 24.0
+PERIODS = 64
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -44,8 +50,6 @@ jessica pepper zxcvbn pass secret test guest root user default changeme summer w
 server system access token key example demo temp private public service account january february march april
 may june july august september october november december monday friday company orange purple silver cookie
 """.split()
-RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
 # Letters that digits and signs stand for, and rows of keys.
 LEET = str.maketrans("013457$@!", "oieastsai")
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -54,11 +58,39 @@ DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 SEGMENT = math.log10(2)
 
 
+class Words:
+    """Ranks of lower-case words, from 1, and all their beginnings."""
+
+    def __init__(self, ranked: list[str]) -> None:
+        self.rank: dict[str, int] = {}
+        for w in ranked:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.starts = {w[:n] for w in self.rank for n in range(1, len(w) + 1)}
+
+    def prose(self, value: str) -> bool:
+        """Whether value is words, two letters or more each, joined by separators or capitals."""
+        parts = re.findall("[A-Z]?[a-z]+|[A-Z]+", value)
+        return bool(parts) and re.fullmatch("[A-Za-z]+(?:[ _./-][A-Za-z]+)*", value) is not None and all(len(p) > 1 and p.lower() in self.rank for p in parts)
+
+
+BASIC = Words(COMMON)
+
+
+def load_words(vocabulary: str | None) -> Words:
+    """The common passwords, then the whole words (a space and ASCII letters) of a byte-level BPE vocabulary file, by id."""
+    if vocabulary is None:
+        return BASIC
+    with open(vocabulary, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = (t[1:].lower() for t in sorted(ids, key=ids.get) if t[:1] == "\u0120")
+    return Words(COMMON + [w for w in words if len(w) > 1 and w.isascii() and w.isalpha()])
+
+
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = BASIC) -> float:
     """log10 of the guesses of the cheapest segmentation; linear in the value's length."""
     n = len(value)
     low = value.lower()
@@ -70,12 +102,12 @@ def guess_cost(value: str) -> float:
     onward = [1] * n
     for i in range(n - 2, -1, -1):
         onward[i] = onward[i + 1] + 1 if low[i : i + 2] in WALK else 1
-    repeat = {p: _periods(low, p) for p in (1, 2, 3, 4)}
+    repeat = _repeats(low)
     walks = _Starts(1)
     repeats = {p: _Starts(p) for p in repeat}
 
     def closed(i: int) -> float:
-        return min(walks.cheapest(i, 3) + math.log10(47), *[r.cheapest(i, 2 * p + (p == 1)) for p, r in repeats.items()])
+        return min([walks.cheapest(i, 3) + math.log10(47), *(r.cheapest(i, 2 * p + (p == 1)) for p, r in repeats.items())])
 
     for i in range(n):
         # walks and repeats may begin and end anywhere in a run
@@ -93,16 +125,16 @@ def guess_cost(value: str) -> float:
                 repeats[p].add(i, i + run[i], base + SEGMENT + sum(map(_brute, value[i : i + p])))
         if m := DATE.match(low, i):
             offer(m.end(), SEGMENT + (math.log10(119) if m.end() - i == 4 else math.log10(365 * 119)))
-        for size in range(3, min(LONGEST, n - i) + 1):
-            word = low[i : i + size]
-            swaps = 0.0
-            if word not in RANK:
-                word = plain[i : i + size]
-                swaps = math.log10(2)
-                if word not in RANK:
-                    continue
-            ups = sum(c.isupper() for c in value[i : i + size])
-            offer(i + size, SEGMENT + math.log10(RANK[word]) + swaps + (0 if not ups else math.log10(2) if ups in (1, size) else math.log10(math.comb(size, min(ups, size - ups)) + 1)))
+        for end in range(i + 1, n + 1):
+            word, swapped = low[i:end], plain[i:end]
+            if word not in words.starts and swapped not in words.starts:
+                break
+            swaps, rank = 0.0, words.rank.get(word)
+            if rank is None:
+                swaps, rank = math.log10(2), words.rank.get(swapped)
+            if rank is not None:
+                ups, size = sum(c.isupper() for c in value[i:end]), end - i
+                offer(end, SEGMENT + math.log10(rank) + swaps + (0 if not ups else math.log10(2) if ups in (1, size) else math.log10(math.comb(size, min(ups, size - ups)) + 1)))
     return min(best[n], closed(n))
 
 
@@ -140,20 +172,30 @@ class _Starts:
         return found
 
 
-def _periods(s: str, p: int) -> list[int]:
-    """How many characters from i on repeat with period p, the first p included."""
+def _repeats(s: str) -> dict[int, list[int]]:
+    """By period, how many characters from each place on repeat; only periods that some block repeats with, none that a shorter one covers."""
     n = len(s)
-    out = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        out[i] = out[i + 1] + 1 if i + p < n and s[i] == s[i + p] else min(p, n - i)
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out: dict[int, list[int]] = {}
+    for p in range(1, min(PERIODS, n // 2) + 1):
+        same = np.concatenate([codes[p:] == codes[:-p], np.zeros(p, bool)])
+        ends = np.flatnonzero(~same)
+        at = np.arange(n)
+        run = ends[np.searchsorted(ends, at)] - at  # places that equal the one p on
+        run = np.where(run >= p + (p == 1), np.minimum(run + p, n - at), 0)
+        for q in out:
+            if p % q == 0:
+                run[np.array(out[q]) >= run] = 0
+        if run.any():
+            out[p] = run.tolist()
     return out
 
 
-def find(text: str, threshold: float = THRESHOLD, has_hex: bool = True) -> list[tuple[int, int, str, float]]:
+def find(text: str, threshold: float = THRESHOLD, has_hex: bool = True, words: Words = BASIC) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, guess cost or 0) by start, then kind as in KINDS."""
     out = []
     if ":" in text or "=" in text:
-        out += [(m.start(), m.end(), "assign", guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        out += [(m.start(), m.end(), "assign", guess_cost(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access", 0.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if has_hex:
@@ -163,7 +205,7 @@ def find(text: str, threshold: float = THRESHOLD, has_hex: bool = True) -> list[
         values |= {m.span(1) for m in USERINFO.finditer(text)}
     for a, b in values:
         b -= len(text[a:b]) - len(text[a:b].rstrip(".,;:)]}"))
-        if b > a and (cost := guess_cost(text[a:b])) >= threshold:
+        if b > a and (cost := guess_cost(text[a:b], words)) >= (max(threshold, PROSE) if words.prose(text[a:b]) else threshold):
             out.append((a, b, "guess", cost))
     return sorted(set(out), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -185,9 +227,13 @@ _HEX_BYTES = re.compile(rb"[0-9a-f]{32}")
 _BEARER_BYTES = re.compile(rb"bearer\x20", re.IGNORECASE)
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (text), found (array of kind, start, end, cost)."""
+def scan(docs: DataFrame, threshold: float = THRESHOLD, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (text), found (array of kind, start, end, cost).
+
+    vocabulary: a byte-level BPE vocabulary file, whose words join the dictionary; the driver reads and broadcasts them.
+    """
     ship(docs.sparkSession)
+    words = docs.sparkSession.sparkContext.broadcast(load_words(vocabulary))
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -199,7 +245,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             sha, spans, found = [nothing] * n, [""] * n, [[] for _ in range(n)]
             column = batch.column("text")
             for i, hexes in _flagged(column):
-                got = find(column[i].as_py(), threshold, hexes)
+                got = find(column[i].as_py(), threshold, hexes, words.value)
                 if not got:
                     continue
                 for _, _, k, _ in got:
@@ -217,9 +263,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,cost:double>>")
 
 
-def redact(docs: DataFrame, threshold: float = THRESHOLD, mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, threshold: float = THRESHOLD, mark: str = "[REDACTED]", vocabulary: str | None = None) -> DataFrame:
     """docs with every span replaced by mark; n_chars, if there, follows the text."""
     ship(docs.sparkSession)
+    words = docs.sparkSession.sparkContext.broadcast(load_words(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +274,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, mark: str = "[REDACTED
             changed: dict[int, str] = {}
             for i, hexes in _flagged(column):
                 text = column[i].as_py()
-                got = find(text, threshold, hexes)
+                got = find(text, threshold, hexes, words.value)
                 if got:
                     parts, at = [], 0
                     for a, b, _, _ in got:

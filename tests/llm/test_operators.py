@@ -155,7 +155,7 @@ def test_credential_contexts_with_prefixes(spark):
         assert text not in found or found[text] not in clean[d]
 
 
-def _least_cost(value):
+def _least_cost(value, words):
     """Every segmentation's parts: all words, dates, walks and repeats at every place, of every length."""
     n, low = len(value), value.lower()
     plain, best = low.translate(secrets.LEET), [0.0] + [np.inf] * len(value)
@@ -166,10 +166,10 @@ def _least_cost(value):
             part, size = low[i:e], e - i
             if size >= 3 and all(part[k : k + 2] in secrets.WALK for k in range(size - 1)):
                 offers.append((e, secrets.SEGMENT + np.log10(47 * size)))
-            offers += [(e, secrets.SEGMENT + sum(brute[i : i + p]) + np.log10(size // p)) for p in (1, 2, 3, 4) if size % p == 0 and size // p >= 2 + (p == 1) and part == part[:p] * (size // p)]
+            offers += [(e, secrets.SEGMENT + sum(brute[i : i + p]) + np.log10(size // p)) for p in range(1, size // 2 + 1) if size % p == 0 and size // p >= 2 + (p == 1) and part == part[:p] * (size // p)]
             for text, more in ((part, 0.0), (plain[i:e], np.log10(2))):
-                if text in secrets.RANK:
-                    offers.append((e, secrets.SEGMENT + np.log10(secrets.RANK[text]) + more))
+                if text in words.rank:
+                    offers.append((e, secrets.SEGMENT + np.log10(words.rank[text]) + more))
                     break
         if m := secrets.DATE.match(low, i):
             offers.append((m.end(), secrets.SEGMENT + np.log10(119 if m.end() - i == 4 else 365 * 119)))
@@ -182,8 +182,14 @@ def test_guess_costs_are_the_least():
     rnd = random.Random(3)
     parts = ["abcdefg", "ello", "hello", "sss", "secret", "abab", "cbcb", "qwerty", "ytrewq", "asdf", "1234", "2024-01-02", "p4ss", "xyzxyz", "9", "$", "aaaa", "zaqx", "fghfgh"]
     values = ["abcdefghello", "ssssecret", "ababcbcb", "", "a", "aaaaaaa", "qwertyuiopassword", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 6))) for _ in range(300)), *("".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 25))) for _ in range(200))]
-    for v in values:
-        assert abs(secrets.guess_cost(v) - _least_cost(v)) < 1e-9, v
+    values += ["asdfreedom", "aaaadmin", "qwertest", "hunter7hunter7hunter7", "abcdeabcdeabcdexyz", "x" * 3 + "ab12cd" * 4]
+    known = secrets.load_words(tokenizer_path())
+    for words in (secrets.BASIC, known):
+        for v in values:
+            assert abs(secrets.guess_cost(v, words) - _least_cost(v, words)) < 1e-9, v
+    for prose in ("auth: authorization", "credentials: required.", "auth: enabled_by_default", "token = enabledByDefault"):
+        assert all(x[2] != "guess" for x in secrets.find(prose, words=known)), prose
+    assert secrets.find("auth: vkq_zjwx_mdhq", words=known)[0][2] == "guess" and secrets.find("pwd: asdfreedom77q")[0:] == []
     assert secrets.find("password: abcdefghello!")[-1][2] != "guess" and secrets.guess_cost("abcdefghello") < 5 and secrets.guess_cost("ssssecret") < 5
     assert secrets.guess_cost("asas" * 20_000) < 9
 
