@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are the leaves of balanced two-way splits of a bounded sample (SAMPLE vectors, chosen by a hash of the id),
-about one for each LIST vectors of the table, and stay in memory with a graph of near centroids. Every vector of the
+Centroids are the leaves of balanced two-way splits of a bounded sample (EACH vectors for each list, SAMPLE at least,
+chosen by a hash of the id), about one for each LIST vectors of the table, up to MAX_LISTS (beyond that lists grow with
+the table), and stay in memory with a graph of near centroids. Every vector of the
 table goes to its nearest centroid's list, found through the graph; a boundary vector, to which other centroids are
 almost as near, also to theirs. A query reads the lists whose centroids are within a ratio of its nearest one's
 distance; the ratio is fitted on the sample, so that the lists hold TARGET of the sample's true neighbours.
@@ -9,7 +10,8 @@ distance; the ratio is fitted on the sample, so that the lists hold TARGET of th
 Lists and their queries meet in units of bounded rows: near lists share a unit, a list of many vectors (copies of one,
 say) is dealt out over several, and a unit's queries come in parts. A unit returns the nearest of all that a query reads
 there, so that few rows are shuffled for a query. Distances are exact, in double precision, on the original vectors. A
-query that finds too few candidates in its lists is compared with all rows, in blocks.
+query that finds too few candidates in its lists is compared with all rows, in blocks. The walk's entries are each
+ENTRY-th centroid, compared at once; from the nearest of them it follows links.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, rows without an id, and vectors
 whose length isn't the sample's most common one take no part; rows that repeat an id and vector count once; ties go to
@@ -33,10 +35,13 @@ from ..runtime import materialize, maybe_broadcast, ship
 from .workers import tidy
 
 SAMPLE = 20_000
+EACH = 8
 LIST = 128
 MAX_LISTS = 16_384
 DEGREE = 16
 BEAM = 24
+VISIT = 6
+ENTRY = 4
 REPLICAS = 4
 BOUNDARY = 1.05
 TARGET = 0.97
@@ -48,6 +53,7 @@ UNITS = 32
 UNIT_ROWS = (1_024, 32_768)
 UNIT_QUERIES = 16_384
 PAIRS = 16_384
+WALKS = 1_024
 TOP = 10
 
 
@@ -81,91 +87,129 @@ def balanced_centroids(x: np.ndarray, lists: int) -> np.ndarray:
 
 
 class Centroids:
-    """Centroids and their graph: each one's nearest, and some far ones as short cuts."""
+    """Centroids and their graph: links to and from each one's nearest. Some of them are entries, compared at once."""
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
         n = len(points)
-        rng = np.random.default_rng(7)
-        links = []
+        near = np.zeros((n, min(DEGREE, max(1, n - 1))), np.int64)
         for a in range(0, n, 1024):
             d = _distances(points[a : a + 1024], points)
-            near = np.argsort(d, axis=1, kind="stable")[:, 1 : DEGREE + 1]
-            links.append(np.concatenate([near, rng.integers(0, n, (len(near), DEGREE // 4))], axis=1))
-        self.links = np.concatenate(links) if links else np.zeros((0, 0), np.int64)
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
-
-    def walk(self, x: np.ndarray, beam: int, ratio: float) -> np.ndarray:
-        """Distances of x to the centroids met (others inf): best first through the graph.
-
-        A walk goes on while its nearest unvisited centroid is among its beam nearest, or within ratio of the nearest.
+            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+            near[a : a + 1024] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
+        # links back, as many again for each centroid; its own nearest fill what is left
+        to, of = near.T.ravel(), np.tile(np.arange(n), near.shape[1])
+        order = np.argsort(to, kind="stable")
+        to, of = to[order], of[order]
+        place = np.arange(len(to)) - np.searchsorted(to, to)
+        back = near.copy()
+        keep = place < near.shape[1]
+        back[to[keep], place[keep]] = of[keep]
+        self.links = np.concatenate([near, back], axis=1)
+        self.entries = np.unique(np.linspace(0, n - 1, max(min(n, 16), n // ENTRY)).astype(np.int64))
+
+    def walk(self, x: np.ndarray, beam: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Best first through the graph: the centroids that each row of x met, nearest first, and their distances.
+
+        Rows are padded with distances of inf. A walk visits, a few at a time, centroids among its beam nearest or within
+        ratio of the nearest, until there are no more; it keeps what it met and measures no centroid twice, so its cost
+        follows the centroids met, not their number.
         """
-        n = len(self.points)
-        out = np.full((len(x), n), np.inf)
-        out[:, self.entries] = _distances(x, self.points[self.entries])
-        open_ = out.copy()
-        beam = min(beam, n)
-        rows = np.arange(len(x))
-        while len(rows):
-            at = open_[rows].argmin(1)
-            d = open_[rows, at]
-            now = out[rows]
-            limit = np.maximum(now.min(1) * ratio, np.partition(now, beam - 1, axis=1)[:, beam - 1])
-            go = np.isfinite(d) & (d <= limit)
-            rows, at = rows[go], at[go]
+        n, m = len(self.points), len(x)
+        x, points = x.astype(np.float32), self.points.astype(np.float32)
+        norms, sizes = (points * points).sum(1), (x * x).sum(1)
+        far = sizes[:, None] + norms[self.entries] - 2 * (x @ points[self.entries].T)
+        kept = min(beam, far.shape[1])
+        first = np.argpartition(far, kept - 1, axis=1)[:, :kept]
+        met, far = self.entries[first], np.maximum(np.take_along_axis(far, first, 1), 0)
+        seen = np.zeros(m * n, bool)
+        seen[(np.arange(m)[:, None] * n + met).ravel()] = True
+        visited = np.zeros(met.shape, bool)
+        rows = np.arange(m)
+        out = []
+        while True:
+            order = np.argsort(far, axis=1)
+            met, far, visited = (np.take_along_axis(v, order, 1) for v in (met, far, visited))
+            limit = np.maximum(far[:, :1] * ratio**2, far[:, min(beam, far.shape[1]) - 1][:, None])
+            open_ = ~visited & (far <= limit) & np.isfinite(far)
+            go = open_.any(1)
+            if not go.all():
+                out.append((rows[~go], met[~go], far[~go]))
+                rows, met, far, visited, open_ = rows[go], met[go], far[go], visited[go], open_[go]
             if not len(rows):
                 break
-            open_[rows, at] = np.inf
-            near = self.links[at]
-            new = np.sqrt(((x[rows][:, None] - self.points[near]) ** 2).sum(2))
-            fresh = np.isinf(out[rows[:, None], near])
-            r, c = np.repeat(rows, near.shape[1]).reshape(near.shape)[fresh], near[fresh]
-            out[r, c] = open_[r, c] = new[fresh]
-        return out
+            now = open_ & (np.cumsum(open_, axis=1) <= VISIT)
+            visited |= now
+            r, c = np.nonzero(now)
+            new = (rows[r][:, None] * n + self.links[met[r, c]]).ravel()
+            new = np.unique(new[~seen[new]])
+            seen[new] = True
+            r, c = np.divmod(new, n)
+            d = np.empty(len(r), np.float32)
+            for k in range(0, len(r), PAIRS):
+                i, j = r[k : k + PAIRS], c[k : k + PAIRS]
+                d[k : k + PAIRS] = sizes[i] + norms[j] - 2 * np.einsum("ij,ij->i", x[i], points[j])
+            at = np.searchsorted(rows, r)
+            counts = np.bincount(at, minlength=len(rows))
+            width = int(counts.max())
+            place = np.arange(len(r)) - (np.cumsum(counts) - counts)[at]
+            more, dist = np.zeros((len(rows), width), np.int64), np.full((len(rows), width), np.inf, np.float32)
+            more[at, place], dist[at, place] = c, np.maximum(d, 0)
+            met, far = np.concatenate([met, more], axis=1), np.concatenate([far, dist], axis=1)
+            visited = np.concatenate([visited, np.zeros(more.shape, bool)], axis=1)
+        width = max(v.shape[1] for _, v, _ in out)
+        all_met, all_far = np.zeros((m, width), np.int64), np.full((m, width), np.inf)
+        for r, v, d in out:
+            all_met[r, : v.shape[1]], all_far[r, : v.shape[1]] = v, np.sqrt(d)
+        return all_met, all_far
 
     def assign(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: its nearest centroid's, and those almost as near that aren't behind one taken already."""
-        d = self.walk(x, BEAM, BOUNDARY)
+        met, far = self.walk(x, BEAM, BOUNDARY)
         out = []
-        for row in d:
-            near = np.argsort(row, kind="stable")[: 4 * REPLICAS]
-            near = near[row[near] <= row[near[0]] * BOUNDARY]
+        for ids, d in zip(met, far, strict=True):
+            near = ids[: 4 * REPLICAS][d[: 4 * REPLICAS] <= d[0] * BOUNDARY]
             taken = [near[0]]
-            for c in near[1:]:
+            for c, own in zip(near[1:], d[1:], strict=False):
                 if len(taken) >= REPLICAS:
                     break
-                if all(((self.points[c] - self.points[t]) ** 2).sum() > row[c] ** 2 / 4 for t in taken):
+                if all(((self.points[c] - self.points[t]) ** 2).sum() > own**2 / 4 for t in taken):
                     taken.append(c)
             out.append(np.array(taken))
         return out
 
     def probe(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
         """The lists that queries read: centroids within ratio of the nearest one's distance."""
-        d = self.walk(x, BEAM, ratio)
-        low = d.min(1)
-        return [np.flatnonzero(row <= m * ratio + 1e-12) for row, m in zip(d, low, strict=True)]
+        met, far = self.walk(x, BEAM, ratio)
+        return [np.sort(ids[d <= d[0] * ratio + 1e-12]) for ids, d in zip(met, far, strict=True)]
 
 
 def fit(x: np.ndarray, rows: int, top: int = TOP, target: float = TARGET) -> tuple[Centroids, float]:
     """Centroids for a table of so many rows, and the ratio at which the sample's lists hold target of its neighbours."""
-    lists = min(MAX_LISTS, max(1, len(x) // 8), 1 << max(0, math.ceil(math.log2(max(1, rows / LIST)))))
-    centroids = Centroids(balanced_centroids(x, lists))
-    lists_of = [v for a in range(0, len(x), FIT_ROWS) for v in centroids.assign(x[a : a + FIT_ROWS])]
-    width = max(map(len, lists_of))
-    padded = np.array([np.pad(v, (0, width - len(v)), "edge") for v in lists_of])
+    centroids = Centroids(balanced_centroids(x, min(lists_for(rows), max(1, len(x) // EACH))))
     picks = np.unique(np.linspace(0, len(x) - 1, min(len(x), FIT_QUERIES)).astype(np.int64))
-    d = _distances(x[picks], x)
-    d[np.arange(len(picks)), picks] = np.inf
-    near = np.argsort(d, axis=1, kind="stable")[:, :top]
-    near = near[:, : max(0, len(x) - 1)]
-    to = _distances(x[picks], centroids.points)
+    near = np.empty((len(picks), min(top, len(x) - 1)), np.int64)
     if not near.size:
         return centroids, 1.0
-    best = to[np.arange(len(picks))[:, None, None], padded[near]].min(2)
+    for a in range(0, len(picks), 64):  # a few queries at a time: the sample may be large
+        d = _distances(x[picks[a : a + 64]], x)
+        d[np.arange(len(d)), picks[a : a + 64]] = np.inf
+        near[a : a + 64] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
+    wanted, back = np.unique(near, return_inverse=True)
+    lists_of = [v for a in range(0, len(wanted), FIT_ROWS) for v in centroids.assign(x[wanted[a : a + FIT_ROWS]])]
+    width = max(map(len, lists_of))
+    padded = np.array([np.pad(v, (0, width - len(v)), "edge") for v in lists_of])[back.reshape(near.shape)]
+    to = _distances(x[picks], centroids.points)
+    best = to[np.arange(len(picks))[:, None, None], padded].min(2)
     needed = best / np.maximum(to.min(1, keepdims=True), 1e-12)
     return centroids, float(max(1.0, np.quantile(needed, target, method="higher")) + 1e-9)
 
 
+def lists_for(rows: int) -> int:
+    """The number of lists of a table of so many rows."""
+    return min(MAX_LISTS, 1 << max(0, math.ceil(math.log2(max(1, rows / LIST)))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -239,7 +283,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
     ship(spark)
     rows = valid(vectors)
     n = rows.count()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow() if n else None
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, EACH * lists_for(n))).toArrow() if n else None
     if not n or picked is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = pc.list_value_length(picked.column("embedding")).to_numpy()
@@ -251,7 +295,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP, sample: int = S
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        step = max(16, 4_000_000 // (len(shared.value.points) + 1) // 8)
+        step = WALKS
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)

@@ -338,6 +338,7 @@ def test_neighbours(spark):
         best = set(np.lexsort((np.arange(700), d))[:10].tolist())
         hits += len(best & {v for _, v, _ in found})
         assert [k for k, _, _ in sorted(found)] == list(range(1, 11))
+        assert [(s, v) for _, v, s in sorted(found)] == sorted((s, v) for _, v, s in found)  # ties by id
         assert all(abs(d[v] - s) < 1e-12 for _, v, s in found)
     assert hits >= 0.9 * 70
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
