@@ -1,13 +1,14 @@
-"""English stems with word types: Porter's second algorithm, with prefixes, superlatives and more restored e's.
+"""English stems with word types: Porter's second algorithm as published (snowballstem.org, the English stemmer).
 
-The rules are tables of (pattern, replacement, types), and a step applies the first row that fits. A suffix must be
-shorter than the word. Types are names; `word_type` ranks them.
+Added to it: negating beginnings and superlatives are cut first, -less and -hood are suffixes, contractions of `not`
+give their auxiliary, and each suffix met gives the word types; `word_type` ranks those. Which suffix goes is decided by
+the longest one that fits, as in the published algorithm; what a stem gets back after -ed and -ing are its repairs (e
+after at, bl, iz and in short words, one letter for doubled ones).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -65,209 +66,202 @@ for _name, _words in CLASSES.items():
     for _w in _words.split():
         _CLASS_OF.setdefault(_w, _name)
 
-_V, _C = "[aeiouy]", "[^aeiouy]"
-_REGION = re.compile(_V + _C)
-_SHORT_END = re.compile(f"{_C}{_V}[^aeiouywxY]$|^{_V}{_C}$")
-# Beginnings of a word, and how many letters go.
-_PREFIXES = tuple((re.compile(p), n) for p, n in (("irr[ae]..", 2), ("over..", 4), ("under..", 5), ("unn...", 2), ("non-...", 3), ("non[^-]..", 2), ("anti-..", 5), ("dis-..", 3)))
-# After -est: what to put back after the rest; None: no superlative. The first row that fits, "y" for a final i.
-_SUPERLATIVES = tuple((re.compile(p), a) for p, a in (
-    ("[dkmy]$", ""), ("cong$", None), (".a[nr]g$", "e"), ("..[nr]g$", ""), ("g$", None), ("i$", "y"), ("^.l$|mo.$", None), (f"{_C}l$", "e"), ("l$", ""),
-    (f"{_V}{_V}n$", ""), (".u[ai]r$", "e"), (f".{_V}{_V}r$", ""), ("s$", "e"), (f".{_V}w$", ""), (f".{_C}h$", ""),
-))
-_DOUBLE_STAYS = re.compile("[fls]$")
-_DOUBLE_GOES = re.compile(".(?:ull|[uv].ll)$")
-# The rest before -ed and -ing that takes an e back, and that before -ing which loses its last letter.
-_E_AFTER_ED = re.compile(f"[csv]$(?<!ss)(?<!.ias)|[^aeio]{_V}d$|.uak$|[bcdfgkptyz]l$|{_C}[aiou]l$")
-_E_AFTER_ING = re.compile(
-    f"[^aeo]{_V}d$|[adeilru]g$|eng$|(?<![bd])ung$|(?:rang|chang)$|[cf]ring$|(?<![lrw])l$(?<!{_V}{_V}l)|[^aeo]ir$|(?<![eo])(?<!ll)ar$|(?<!o)or$(?<![^s]tor)|[ct]r$(?<!str)"
-    f"|[^gilo]ot$|u$(?<!.{_V}{_V}u)|.uak$|(?<![tz])z$|(?<![mr])b$|[csv]$(?<!ss)(?<!.ias)(?<!^zinc)"
-)
-_LOSES_AFTER_ING = re.compile("[^q]uell$|[hu]izz$")
-_NEGATED = tuple((re.compile(p), r) for p, r in (("can't$", "can"), ("an't$", "all"), ("in't$", "m"), ("won't$", "will"), ("n't$", "")))
-# Before -li outside the region: an e for b; others lose -li if the word is longer than so many letters.
-_LI = {"i": 4, "s": 3, "e": 4, "g": 4, "m": 4, "n": 4, "w": 4, "r": 5}
-
-
-def _region(w: str, at: int) -> int:
-    found = _REGION.search(w, at)
-    return found.end() if found else len(w)
-
-
-def _first_region(w: str) -> int:
-    return next((len(s) for s in REGION_STARTS if w.startswith(s) and len(w) > len(s)), None) or _region(w, 0)
-
-
-def _ends(w: str, s: str) -> bool:
-    return len(w) > len(s) and w.endswith(s)
-
-
-def _within(w: str, region: int, s: str) -> bool:
-    return len(w) > 1 and region <= len(w) - len(s)
-
-
-def _trim(w: str) -> str:
-    """Without leading apostrophes, as many trailing ones, and one trailing hyphen."""
-    bare = w.lstrip("'") or w[-1:]
-    quotes = len(w) - len(bare)
-    while quotes and len(bare) > 1 and bare.endswith("'"):
-        bare, quotes = bare[:-1], quotes - 1
-    return bare[:-1] if bare.endswith("-") else bare
-
-
-def _consonant_ys(w: str) -> str:
-    """Y for a y that begins the word or follows a vowel."""
-    out = ""
-    for c in w:
-        out += "Y" if c == "y" and out[-1:] in ("", *"aeiouy") else c
-    return out
-
-
-def _superlative(w: str) -> str | None:
-    if len(w) < 5 or not w.endswith("est"):
-        return None
-    rest = w[:-3]
-    if rest[-1] == rest[-2] and rest[-1] != "r" and not rest.endswith("sugg"):
-        if rest != "odd" and (not _DOUBLE_STAYS.search(rest) or (len(rest) > 4 and _DOUBLE_GOES.search(rest))):
-            rest = rest[:-1]
-        return None if len(rest) == 2 and rest != "in" else rest
-    back = next((a for p, a in _SUPERLATIVES if p.search(rest)), None)
-    return None if back is None else rest[:-1] + "y" if back == "y" else rest + back
-
-
-def _plural(w: str, types: set[str]) -> str:
-    if _ends(w, "sses"):
-        types.add("Plural")
-        return w[:-2]
-    if _ends(w, "ied") or _ends(w, "ies"):
-        types.add("Verb" if w.endswith("d") else "Plural")
-        return w[: -2 if len(w) > 4 else -1]
-    if _ends(w, "us") or _ends(w, "ss"):
-        return w
-    if len(w) > 2 and w.endswith("s") and re.search(_V, w[:-2]):
-        types.add("Plural")
-        return w[:-1]
-    if len(w) > 4 and w.endswith("n't"):
-        types.add("Prefix")
-        return next(p.sub(r, w) for p, r in _NEGATED if p.search(w))
-    return w[:-4] if len(w) > 7 and w.endswith("hood") else w
-
-
-def _tense(w: str, r1: int, types: set[str]) -> str:
-    for s, cut in (("eedly", 1), ("eed", 3)):
-        if _ends(w, s):
-            types |= {"AdverbOfManner"} if s == "eedly" else set()
-            return w[:-cut] if _within(w, r1, s) else w
-    s = next((s for s in ("ed", "edly", "ing", "ingly") if _ends(w, s)), None)
-    if s is None or not re.search(_V, rest := w[: -len(s)]):
-        return w
-    types |= {"Verb", "AdverbOfManner"} if s.endswith("ly") else {"Verb"}
-    if any(_ends(rest, e) for e in ("at", "bl", "iz")) or (_SHORT_END.search(rest) and _first_region(rest) == len(rest)):
-        return rest + "e"
-    if len(rest) < 3:
-        return rest
-    if re.search(r"([bdfgmnprt])\1$", rest):
-        return rest[:-1]
-    if s.startswith("ed"):
-        return rest + "e" if _E_AFTER_ED.search(rest) else rest
-    return rest[:-1] if _LOSES_AFTER_ING.search(rest) else rest + "e" if _E_AFTER_ING.search(rest) else rest
-
-
-def _rewrite(w: str, region: int, table: tuple, types: set[str]) -> str | None:
-    for s, to, kinds in table:
-        if _ends(w, s) and _within(w, region, s):
-            types |= set(kinds.split())
-            return w[: -len(s)] + to
-    return None
-
-
-def _step2(w: str, r1: int, types: set[str]) -> str:
-    out = _rewrite(w, r1, STEP2, types)
-    if out is not None:
-        return out
-    if _ends(w, "logi") and _within(w, r1, "ogi"):
-        return w[:-1]
-    if not _ends(w, "li"):
-        return w
-    before = w[-3]
-    if before in "cdeghkmnrt" and _within(w, r1, "li"):
-        out = w[:-2]
-    elif before == "b" and len(w) > 3:
-        out = w[:-1] + "e"
-    elif (before == "l" and len(w) > 5 and w[-4] in "au") or len(w) > _LI.get(before, len(w)):
-        out = w[:-2]
-    if out is None:
-        return w
-    types.add("AdverbOfManner")
-    return out
-
-
-def _step3(w: str, r1: int, r2: int, types: set[str]) -> str:
-    out = _rewrite(w, r1, STEP3, types)
-    w = w if out is None else out
-    if _ends(w, "ative") and _within(w, r2, "ative"):
-        types.add("Suffix")
-        return w[:-5]
-    if len(w) > 5 and w.endswith("less"):
-        types.add("Adjective")
-        return w[:-4]
-    return w
-
-
-def _step4(w: str, r2: int, types: set[str]) -> str:
-    for s, kinds in STEP4:
-        if _ends(w, s) and _within(w, r2, s):
-            w = w[: -len(s) + (s in ("sion", "tion"))]
-            if s != "ent" or not w.endswith("m"):
-                types |= set(kinds.split())
-            if s == "al" and _ends(w, "nti"):
-                w = w[:-1]
-                continue
-            break
-    return w
-
-
-def _step5(w: str, r1: int, r2: int) -> str:
-    if w.endswith("e") and w != "here":
-        if _within(w, r2, "e"):
-            return w[:-1]
-        return w[:-1] if _within(w, r1, "e") and not _SHORT_END.search(w[:-1]) else w
-    return w[:-1] if w.endswith("ll") and _within(w, r2, "l") else w
+# Nouns and verbs that only look like superlatives.
+NO_SUPERLATIVES = frozenset("""forest honest modest interest harvest tempest conquest request inquest bequest suggest protest arrest invest divest
+digest ingest contest manifest attest detest molest earnest priest guest quest chest crest behest infest ernest everest budapest bucharest
+northwest southwest""".split())
+# Auxiliaries whose contraction with `not` changes them; others just lose it.
+CONTRACTED = {"can't": "can", "won't": "will", "shan't": "shall", "ain't": "be"}
+# Negating or grading beginnings: what is cut, if so many letters follow (irr- and unn- keep the letter that was doubled).
+BEGINNINGS = {"ir": ("irr", 5), "un": ("unn", 5), "over": ("over", 6), "under": ("under", 7), "non-": ("non-", 7), "non": ("non", 6), "anti-": ("anti-", 7), "dis-": ("dis-", 6)}
+VOWELS = frozenset("aeiouy")
+DOUBLES = frozenset("bb dd ff gg mm nn pp rr tt".split())
+LI_ENDINGS = frozenset("cdeghkmnrt")
+
+
+class _Word:
+    """A word on its way to its stem: its letters, where its regions begin, and the types met."""
+
+    def __init__(self, letters: str) -> None:
+        self.types: set[str] = set()
+        self.text = letters
+
+    def regions(self) -> None:
+        """Y marks a y that is a consonant; r1 begins after the first consonant that follows a vowel, r2 after the next such."""
+        marked: list[str] = []
+        for c in self.text:
+            marked.append("Y" if c == "y" and (not marked or marked[-1] in VOWELS) else c)
+        self.text = "".join(marked)
+        start = next((s for s in REGION_STARTS if self.text.startswith(s)), None)
+        self.r1 = self.after_pair(0) if start is None else len(start)
+        self.r2 = self.after_pair(self.r1)
+
+    def after_pair(self, at: int) -> int:
+        for k in range(at + 1, len(self.text)):
+            if self.text[k - 1] in VOWELS and self.text[k] not in VOWELS:
+                return k + 1
+        return len(self.text)
+
+    def suffix(self, table: Iterable[str]) -> str | None:
+        """The longest suffix of the table that leaves something before it."""
+        return max((s for s in table if self.text.endswith(s) and len(s) < len(self.text)), key=len, default=None)
+
+    def cut(self, suffix: str, put: str = "", kinds: str = "") -> None:
+        self.text = self.text[: len(self.text) - len(suffix)] + put
+        self.types.update(kinds.split())
+
+    def holds(self, region: int, suffix: str) -> bool:
+        return len(self.text) - len(suffix) >= region
+
+    def vowel_before(self, end: int) -> bool:
+        return any(c in VOWELS for c in self.text[:end])
+
+    def short_end(self, text: str) -> bool:
+        """Whether text ends in a short syllable."""
+        if len(text) == 2:
+            return text[0] in VOWELS and text[1] not in VOWELS
+        return len(text) > 2 and text[-3] not in VOWELS and text[-2] in VOWELS and text[-1] not in VOWELS and text[-1] not in "wxY"
+
+    def mend(self) -> None:
+        """The end that a stem had before a suffix joined it: e after at, bl, iz and in short words, one letter for doubles."""
+        if self.text.endswith(("at", "bl", "iz")):
+            self.text += "e"
+        elif self.text[-2:] in DOUBLES:
+            self.text = self.text[:-1]
+        elif self.r1 >= len(self.text) and self.short_end(self.text):
+            self.text += "e"
+
+
+def _quotes_off(word: str) -> str:
+    """Without leading apostrophes, as many closing ones, and a hyphen left at the end."""
+    inner = word.lstrip("'")
+    if not inner:
+        return word[-1:]
+    opened = len(word) - len(inner)
+    closed = len(inner) - len(inner.rstrip("'"))
+    return inner[: len(inner) - min(opened, closed)].removesuffix("-")
+
+
+def _beginning(w: _Word) -> None:
+    for cut, (start, least) in BEGINNINGS.items():
+        if w.text.startswith(start) and len(w.text) >= least:
+            w.text = w.text[len(cut) :]
+            w.types.add("Prefix")
+            return
+
+
+def _superlative(w: _Word) -> None:
+    """-est goes from words of six letters or more with a vowel before it, and from shorter ones that double a letter or end in -iest."""
+    rest = w.text[:-3]
+    if not w.text.endswith("est") or w.text in NO_SUPERLATIVES or len(rest) < 2 or not any(c in VOWELS for c in rest):
+        return
+    if rest[-1] == "i":
+        rest = rest[:-1] + "y"
+    elif len(rest) > 3 and rest[-2:] in DOUBLES:
+        rest = rest[:-1]
+    elif len(rest) < 3:
+        return
+    elif rest[-1] in "cvz" or rest.endswith(("rg", "dg")) or (rest[-1] == "l" and rest[-2] not in "aeiouyl") or (len(rest) == 3 and rest[1] in VOWELS and w.short_end(rest)):
+        rest += "e"  # nice, brave, large, simple, wide
+    w.text = rest
+    w.types.add("Adjective")
+
+
+def _possessive(w: _Word) -> None:
+    s = w.suffix(("'", "'s", "'s'"))
+    if s:
+        w.cut(s, kinds="Plural")
+
+
+def _plural(w: _Word) -> None:
+    s = w.suffix(("sses", "ied", "ies", "us", "ss", "s"))
+    if s == "sses":
+        w.cut(s, "ss", "Plural")
+    elif s in ("ied", "ies"):
+        w.cut(s, "i" if len(w.text) > 4 else "ie", "Verb" if s == "ied" else "Plural")
+    elif s == "s" and w.vowel_before(len(w.text) - 2):
+        w.cut(s, kinds="Plural")
+    elif w.text in CONTRACTED:
+        w.text = CONTRACTED[w.text]
+        w.types.add("Prefix")
+    elif len(w.text) > 4 and w.text.endswith("n't"):
+        w.cut("n't", kinds="Prefix")
+    elif len(w.text) > 7 and w.text.endswith("hood"):
+        w.cut("hood")
+
+
+def _tense(w: _Word) -> None:
+    s = w.suffix(("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if s is None:
+        return
+    manner = " AdverbOfManner" if s.endswith("ly") else ""
+    if s.startswith("ee"):
+        w.types.update(manner.split())
+        if w.holds(w.r1, s):
+            w.cut(s, "ee")
+    elif w.vowel_before(len(w.text) - len(s)):
+        w.cut(s, kinds="Verb" + manner)
+        w.mend()
+
+
+def _final_y(w: _Word) -> None:
+    if len(w.text) > 2 and w.text[-1] in "yY" and w.text[-2] not in VOWELS:
+        w.cut(w.text[-1], "i")
+
+
+_TABLE2 = {s: (to, kinds) for s, to, kinds in STEP2} | {"ogi": ("og", ""), "li": ("", "AdverbOfManner")}
+_TABLE3 = {s: (to, kinds) for s, to, kinds in STEP3} | {"ative": ("", "Suffix")}
+_TABLE4 = {s: kinds for s, kinds in STEP4}
+
+
+def _derived(w: _Word) -> None:
+    """Suffixes that became others."""
+    s = w.suffix(_TABLE2)
+    if s and w.holds(w.r1, s) and not (s == "ogi" and w.text[-4] != "l") and not (s == "li" and w.text[-3] not in LI_ENDINGS):
+        w.cut(s, *_TABLE2[s])
+    s = w.suffix(_TABLE3)
+    if s and w.holds(w.r2 if s == "ative" else w.r1, s):
+        w.cut(s, *_TABLE3[s])
+    if len(w.text) > 5 and w.text.endswith("less"):
+        w.cut("less", kinds="Adjective")
+    s = w.suffix(_TABLE4)
+    if s in ("sion", "tion"):
+        if w.holds(w.r2, "ion"):
+            w.cut("ion", kinds=_TABLE4[s])
+    elif s and w.holds(w.r2, s):
+        w.cut(s, kinds=_TABLE4[s])
+
+
+def _final_letter(w: _Word) -> None:
+    if w.text.endswith("e"):
+        if w.holds(w.r2, "e") or (w.holds(w.r1, "e") and not w.short_end(w.text[:-1])):
+            w.cut("e")
+    elif w.text.endswith("ll") and w.holds(w.r2, "l"):
+        w.cut("l")
 
 
 @lru_cache(maxsize=65_536)
 def stem(word: str) -> tuple[str, tuple[str, ...]]:
     """The stem of a lower-case word (letters, ' and -), and its types in order of name; an empty word has neither."""
-    types: set[str] = set()
-    w = _trim(word)
-    gone = next((n for p, n in _PREFIXES if p.match(w)), 0)
-    if gone:
-        w = w[gone:]
-        types.add("Prefix")
-    if (rest := _superlative(w)) is not None:
-        w = rest
-        types.add("Adjective")
-    if w in WHOLE:
-        w, kinds = WHOLE[w]
-        return w, tuple(sorted(types | set(kinds.split())))
-    w = _consonant_ys(w)
-    r1 = _first_region(w)
-    r2 = _region(w, r1)
-    for s in ("'s'", "'s", "'"):
-        if _ends(w, s):
-            w = w[: -len(s)]
-            types.add("Plural")
-            break
-    w = _plural(w, types)
-    if w in AFTER_PLURAL:
-        return w, tuple(sorted(types | {AFTER_PLURAL[w]}))
-    w = _tense(w, r1, types)
-    if re.search("..[yY]$", w) and re.search(f"{_C}.$", w):
-        w = w[:-1] + "i"
-    w = _step5(_step4(_step3(_step2(w, r1, types), r1, r2, types), r2, types), r1, r2).replace("Y", "y")
-    if types <= {"Plural"} and w in _CLASS_OF:
-        types.add(_CLASS_OF[w])
-    return w, tuple(sorted(types))
+    w = _Word(_quotes_off(word))
+    _beginning(w)
+    _superlative(w)
+    done = WHOLE.get(w.text)
+    if done is None and len(w.text) > 2:
+        w.regions()
+        _possessive(w)
+        _plural(w)
+        done = (w.text, AFTER_PLURAL[w.text]) if w.text in AFTER_PLURAL else None
+        if done is None:
+            for step in (_tense, _final_y, _derived, _final_letter):
+                step(w)
+            w.text = w.text.replace("Y", "y")
+    if done is not None:
+        w.text = done[0]
+        w.types.update(done[1].split())
+    elif w.types <= {"Plural"} and w.text in _CLASS_OF:
+        w.types.add(_CLASS_OF[w.text])
+    return w.text, tuple(sorted(w.types))
 
 
 def word_type(types: tuple[str, ...] | set[str]) -> int:

@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_array
-from ..runtime import materialize
+from ..runtime import materialize, ship
 
 TAIL, PROBE = 16 * 1024, 4 * 1024
 
 
-def grams(docs: DataFrame, probe: int = PROBE, tail: int = TAIL) -> DataFrame:
-    """block, doc_id, kind (tail or probe), ctx, sym, n: trigram counts of the last and the first bytes."""
-    some = docs.select("block", "doc_id", byte_array(F.col("text")).alias("b"))
-    both = some.select("block", "doc_id", F.explode(F.array(
-        F.struct(F.lit("probe").alias("kind"), F.slice("b", 1, probe).alias("b")),
-        F.struct(F.lit("tail").alias("kind"), F.when(F.size("b") > tail, F.slice("b", -tail, tail)).otherwise(F.col("b")).alias("b")))).alias("x")).select("block", "doc_id", "x.kind", "x.b").where(F.size("b") > 2)
-    rows = both.select("block", "doc_id", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.size("b") - 2), lambda i: F.concat(F.get("b", i - 1), F.get("b", i), F.get("b", i + 1)))).alias("g"))
-    return rows.groupBy("block", "doc_id", "kind", F.substring("g", 1, 4).alias("ctx"), F.substring("g", 5, 2).alias("sym")).agg(F.count("*").alias("n"))
+_PAIRS = pa.array([f"{k:04X}" for k in range(1 << 16)])
+_ONES = pa.array([f"{k:02X}" for k in range(256)])
 
 
-def _logs(start, n, plus: float):
-    """Sum of log2(start + j + plus) for j under n."""
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), lambda a, j: a + F.log2(start + j + F.lit(plus)))
+def grams(docs: DataFrame, probe: int = PROBE, tail: int = TAIL) -> DataFrame:
+    """block, doc_id, kind (tail or probe), ctx, sym, n: trigram counts of the last and the first bytes; a text's are counted in place."""
+    ship(docs.sparkSession)
+    some = docs.select("block", "doc_id", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for r, text in enumerate(batch.column("text")):
+                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8).astype(np.int64)
+                for kind, part in (("probe", raw[:probe]), ("tail", raw[-tail:])):
+                    if len(part) > 2:
+                        found.append((r, kind, *np.unique(part[:-2] << 16 | part[1:-1] << 8 | part[2:], return_counts=True)))
+            if found:
+                sizes = [len(g) for _, _, g, _ in found]
+                at, gram = pa.array(np.repeat([r for r, *_ in found], sizes)), np.concatenate([g for _, _, g, _ in found])
+                yield pa.RecordBatch.from_pydict({
+                    "block": batch.column("block").take(at), "doc_id": batch.column("doc_id").take(at), "kind": pa.array(np.repeat([k for _, k, _, _ in found], sizes)),
+                    "ctx": _PAIRS.take(pa.array(gram >> 8)), "sym": _ONES.take(pa.array(gram & 255)), "n": pa.array(np.concatenate([n for *_, n in found]))})
+
+    return some.mapInArrow(count, f"block {kinds['block']}, doc_id {kinds['doc_id']}, kind string, ctx string, sym string, n long")
 
 
 def edge_scores(docs: DataFrame) -> DataFrame:
@@ -54,29 +70,47 @@ def path_scores(order: DataFrame, edges: DataFrame) -> DataFrame:
     return near.join(edges, ["block", "source", "target"], "left").groupBy("block").agg(F.sum(F.coalesce("bits", F.lit(0.0))).alias("bits"))
 
 
+def _greedy(bits: np.ndarray, start: int) -> np.ndarray:
+    """From start always on to the cheapest place not yet visited, the first of equals."""
+    left, path = np.zeros(len(bits)), [start]
+    left[start] = np.inf
+    while len(path) < len(bits):
+        path.append(int((bits[path[-1]] + left).argmin()))
+        left[path[-1]] = np.inf
+    return np.array(path)
+
+
+def _swapped(bits: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """path after passes of swaps of neighbours that save bits; a swap changes three edges, and only those are added up."""
+    n, path = len(path), path.copy()
+
+    def edge(a: int, b: int) -> float:
+        return bits[path[a], path[b]] if 0 <= a < n and b < n else 0.0
+
+    saving = True
+    while saving:
+        saving = False
+        for i in range(n - 1):
+            j = i + 1
+            saved = edge(i - 1, i) + edge(i, j) + edge(j, j + 1) - edge(i - 1, j) - edge(j, i) - edge(i, j + 1)
+            if saved > 1e-9:
+                path[i], path[j] = path[j], path[i]
+                saving = True
+    return path
+
+
 def optimise(order: DataFrame, edges: DataFrame) -> DataFrame:
-    """block, doc_id, rank, block_bits: the best of the given order, greedy successor paths and adjacent swaps."""
+    """block, doc_id, rank, block_bits: the cheapest of the given order, its swaps, and greedy paths from its ends and middle."""
 
     def best(key: tuple, members: pd.DataFrame, costs: pd.DataFrame) -> pd.DataFrame:
-        ids = members.sort_values("rank")["doc_id"].tolist()
-        cost = {(s, t): b for s, t, b in zip(costs["source"], costs["target"], costs["bits"], strict=True)}
-        total = lambda p: sum(cost.get(e, 0.0) for e in zip(p, p[1:], strict=False))
-        found = [ids]
-        for start in {ids[0], ids[-1], ids[len(ids) // 2]}:
-            path, left = [start], set(ids) - {start}
-            while left:
-                path.append(min(left, key=lambda t: (cost.get((path[-1], t), 0.0), t)))
-                left.remove(path[-1])
-            found.append(path)
-        swapped, value, moved = list(ids), total(ids), True
-        while moved:
-            moved = False
-            for i in range(len(ids) - 1):
-                trial = [*swapped[:i], swapped[i + 1], swapped[i], *swapped[i + 2 :]]
-                if total(trial) + 1e-9 < value:
-                    swapped, value, moved = trial, total(trial), True
-        path = min([*found, swapped], key=total)
-        return pd.DataFrame({"block": key[0], "doc_id": path, "rank": range(len(path)), "block_bits": round(total(path), 6)})
+        ids = np.sort(members["doc_id"].to_numpy())
+        given = np.searchsorted(ids, members.sort_values("rank")["doc_id"].to_numpy())
+        bits = np.zeros((len(ids), len(ids)))
+        bits[np.searchsorted(ids, costs["source"]), np.searchsorted(ids, costs["target"])] = costs["bits"]
+        total = lambda p: float(bits[p[:-1], p[1:]].sum())
+        paths = [given, _swapped(bits, given), *(_greedy(bits, int(given[k])) for k in (0, len(ids) // 2, len(ids) - 1))]
+        cheapest = min(paths, key=lambda p: round(total(p), 9))
+        return pd.DataFrame({"block": key[0], "doc_id": ids[cheapest], "rank": range(len(ids)), "block_bits": round(total(cheapest), 6)})
 
     edges = materialize(edges, "edge-scores")  # scored once; also keeps its columns apart from those of the order
     return order.groupBy("block").cogroup(edges.groupBy("block")).applyInPandas(best, "block long, doc_id long, rank long, block_bits double")
