@@ -43,25 +43,48 @@ def grams(docs: DataFrame, probe: int = PROBE, tail: int = TAIL) -> DataFrame:
     return some.mapInArrow(count, f"block {kinds['block']}, doc_id {kinds['doc_id']}, kind string, ctx string, sym string, n long")
 
 
-def edge_scores(docs: DataFrame) -> DataFrame:
-    """block, source, target, bits of coding target's first bytes adaptively after source's last.
+def _keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams, then their contexts (from 2^24), and how often each comes."""
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    if len(b) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    context = b[:-2] << 8 | b[1:-1]
+    return np.unique(np.concatenate([context << 8 | b[2:], context + (1 << 24)]), return_counts=True)
 
-    The loss separates by key, so pairs only meet on the trigrams and contexts that they share, never by position.
+
+def edge_scores(docs: DataFrame, probe: int = PROBE, tail: int = TAIL) -> DataFrame:
+    """block, source, target, bits of coding target's first bytes adaptively after source's last, for all pairs of a block.
+
+    Only probe + tail bytes of a document travel, so a block of bounded documents is a bounded task. A key that comes m
+    times after t times costs grown(t + m) - grown(t), whatever the order, so a target is scored against all tails of its
+    block at once.
     """
-    g = grams(docs)
-    contexts = g.groupBy("block", "doc_id", "kind", "ctx").agg(F.sum("n").alias("n"))
-    key = g.select("block", "doc_id", "kind", F.concat("ctx", "sym").alias("key"), "n", F.lit(-1.0).alias("sign"), F.lit(0.5).alias("plus"))
-    key = key.unionByName(contexts.select("block", "doc_id", "kind", F.col("ctx").alias("key"), "n", F.lit(1.0).alias("sign"), F.lit(128.0).alias("plus")))
-    probe = key.where("kind = 'probe'").select("block", F.col("doc_id").alias("target"), "key", F.col("n").alias("m"), "sign", "plus")
-    tail = key.where("kind = 'tail'").select("block", F.col("doc_id").alias("source"), "key", F.col("n").alias("t"))
-    zero = F.lit(0).cast("long")
-    alone = probe.groupBy("block", "target").agg(F.sum(F.col("sign") * F.aggregate(F.sequence(zero, F.col("m") - 1), F.lit(0.0), lambda a, j: a + F.log2(j + F.col("plus")))).alias("base"))
-    shared = probe.join(tail, ["block", "key"]).where("source <> target")
-    term = F.aggregate(F.sequence(zero, F.col("m") - 1), F.lit(0.0), lambda a, j: a + F.log2(F.col("t") + j + F.col("plus")) - F.log2(j + F.col("plus")))
-    change = shared.groupBy("block", "source", "target").agg(F.sum(F.col("sign") * term).alias("change"))
-    members = docs.select("block", F.col("doc_id").alias("source"))
-    pairs = members.join(alone, "block").where("source <> target")
-    return pairs.join(change, ["block", "source", "target"], "left").select("block", "source", "target", (F.col("base") + F.coalesce("change", F.lit(0.0))).alias("bits"))
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    ends = docs.select("block", "doc_id", F.substring(raw, 1, probe).alias("head"), F.when(F.length(raw) > tail, F.substring(raw, -tail, tail)).otherwise(raw).alias("tail"))
+
+    def score(block: pa.Table) -> pa.Table:
+        grown = [np.concatenate([[0.0], np.cumsum(np.log2(np.arange(tail + probe) + plus))]) for plus in (0.5, 128.0)]
+        ids = block.column("doc_id").to_numpy()
+        tails = [_keys(x.as_py()) for x in block.column("tail")]
+        known, at = np.unique(np.concatenate([k for k, _ in tails]), return_inverse=True)
+        counts = np.zeros((len(ids), len(known) + 1), np.int32)
+        counts[np.repeat(np.arange(len(ids)), [len(k) for k, _ in tails]), at] = np.concatenate([n for _, n in tails])
+        bits = np.zeros((len(ids), len(ids)))
+        for j, x in enumerate(block.column("head")):
+            key, m = _keys(x.as_py())
+            if len(key):
+                place = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                place = np.where(known[place] == key, place, len(known)) if len(known) else np.zeros(len(key), np.int64)
+                t = counts[:, place]
+                split = int(np.searchsorted(key, 1 << 24))  # trigrams come first, contexts after
+                bits[:, j] = (grown[1][(t + m)[:, split:]] - grown[1][t[:, split:]]).sum(1) - (grown[0][(t + m)[:, :split]] - grown[0][t[:, :split]]).sum(1)
+        i, j = np.nonzero(~np.eye(len(ids), dtype=bool))
+        keep = np.array([len(x.as_py()) > 2 for x in block.column("head")])[j] if len(j) else np.zeros(0, bool)
+        i, j = i[keep], j[keep]
+        return pa.table({"block": pa.array([block.column("block")[0].as_py()] * len(i), block.schema.field("block").type), "source": ids[i], "target": ids[j], "bits": bits[i, j]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in ends.schema}
+    return ends.groupBy("block").applyInArrow(score, f"block {kinds['block']}, source {kinds['doc_id']}, target {kinds['doc_id']}, bits double")
 
 
 def path_scores(order: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Feature blocks: standardising, top variances, balanced two-means splits."""
+"""Feature blocks: standardising, top variances."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,24 +22,3 @@ def standardised(vectors: DataFrame, keep: int) -> DataFrame:
     z = wide.select("vec_id", F.transform("stats", lambda s: (F.get("embedding", s["dim"]).cast("double") - s["mean"]) / s["sd"]).alias("z"))
     norm = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))
     return z.select("vec_id", F.transform("z", lambda v: v / F.when(norm == 0, 1.0).otherwise(norm)).alias("features"))
-
-
-def _distance(a: str, b: str):
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
-def split(vectors: DataFrame, left_size: int, iterations: int = 1) -> DataFrame:
-    """vec_id, is_left: two halves of given size around two centres seeded on the axis of the largest variance."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    axis = dimensions(v).orderBy(F.desc(F.round("variance", 9)), "dim").first().dim
-    ranked = v.withColumn("r", F.row_number().over(Window.orderBy(F.get("embedding", F.lit(axis)), "vec_id")) - 1)
-    n = v.count()
-    seeds = {r.r: r.embedding for r in ranked.where(F.col("r").isin(left_size // 2, min(n - 1, left_size + (n - left_size) // 2))).collect()}
-    left, right = seeds[left_size // 2], seeds[min(n - 1, left_size + (n - left_size) // 2)]
-    out = None
-    for _ in range(max(1, iterations)):
-        delta = v.select("vec_id", "embedding", F.array(*map(F.lit, left)).alias("l"), F.array(*map(F.lit, right)).alias("r")).select("vec_id", "embedding", F.round(_distance("embedding", "l") - _distance("embedding", "r"), 9).alias("delta"))
-        out = delta.withColumn("is_left", F.row_number().over(Window.orderBy("delta", "vec_id")) <= left_size)
-        means = {r.is_left: r.m for r in out.select("is_left", F.posexplode("embedding").alias("d", "x")).groupBy("is_left", "d").agg(F.avg("x").alias("x")).groupBy("is_left").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m")).collect()}
-        left, right = ([p.x for p in means[side]] for side in (True, False))
-    return out.select("vec_id", "is_left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import causal, ordering, vectors
+from ..operators import causal, hierarchy, ordering, vectors
 from ..runtime import ship, table
 from .registry import query
 
@@ -16,43 +16,43 @@ def _round(c, n: int = 6):
     return F.round(c, n)
 
 
-_BYTES = "list_transform(range(1, strlen({t}) + 1), lambda i: substr(hex(encode({t})), 2 * i - 1, 2))"
 _COUNT = "((length({t}) - length(replace({t}, '{p}', ''))) // {n})"
-_RATE = "round(coalesce({a} / nullif(strlen(text) / 1024.0, 0), 0), 6)"
 
 
-@query(
-    "WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), "
-    "h AS (SELECT doc_id, x, count(*) AS n FROM b GROUP BY ALL), "
-    "s AS (SELECT doc_id, sum(n) AS t, sum(CASE WHEN x < '80' THEN n ELSE 0 END) AS a, sum(CASE WHEN x BETWEEN '30' AND '39' THEN n ELSE 0 END) AS d, "
-    "sum(CASE WHEN x BETWEEN '41' AND '5A' THEN n ELSE 0 END) AS u, sum(CASE WHEN x BETWEEN '61' AND '7A' THEN n ELSE 0 END) AS l, "
-    "sum(CASE WHEN x IN ('20','09','0A','0D') THEN n ELSE 0 END) AS w, sum(CASE WHEN x = '0A' THEN n ELSE 0 END) AS nl FROM h GROUP BY doc_id), "
-    "e AS (SELECT doc_id, -sum(n / t * log2(n / t)) AS byte_entropy FROM h JOIN s USING (doc_id) GROUP BY doc_id), "
-    "k AS (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z]+')) AS words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_extract_all(text, '\\b[0-9]+\\b')) AS numbers FROM documents) "
-    "SELECT doc_id, round(log2(t + 1), 6) AS log2_bytes, round(byte_entropy, 6) AS byte_entropy, round(a / t, 6) AS ascii_ratio, round((t - a) / t, 6) AS non_ascii_ratio, round(d / t, 6) AS digit_ratio, "
-    "round(u / t, 6) AS upper_ratio, round(l / t, 6) AS lower_ratio, round(w / t, 6) AS whitespace_ratio, round(words / (t / 1024.0), 6) AS words_per_kib, round(coalesce(letters / nullif(words, 0), 0), 6) AS average_word_length, "
-    "round(coalesce(numbers / nullif(words + numbers, 0), 0), 6) AS number_token_ratio, round(nl / (t / 1024.0), 6) AS lines_per_kib"
-    + "".join(f", {_RATE.format(a=_COUNT.format(t='text', p=p, n=len(p)))} AS {k}_per_kib" for k, p in tx.PATTERNS.items())
-    + " FROM s JOIN e USING (doc_id) JOIN k USING (doc_id)"
-)
+_SHARE = "round(coalesce({a} / nullif({b}, 0), 0), 6)"
+
+
+def _within(first: str, last: str) -> str:
+    return f"sum(CASE WHEN x BETWEEN '{first}' AND '{last}' THEN n ELSE 0 END)"
+
+
+def _features_sql() -> str:
+    """The 151 structural features of whole texts, empty and null ones too."""
+    share = lambda a, b: _SHARE.format(a=a, b=b)
+    kib = "(t / 1024.0)"
+    shape = [
+        "round(log2(t + 1), 6)", "round(coalesce(byte_entropy, 0), 6)", share("a", "t"), share("(t - a)", "t"), share("d", "t"), share("u", "t"), share("l", "t"), share("w", "t"), share("words", kib),
+        share("letters", "words"), share("numbers", "(words + numbers)"), share("nl", kib),
+    ]
+    rates = [share(_COUNT.format(t="text", p=p, n=len(p)), kib) for p in tx.PATTERNS.values()]
+    chars = [share(f"a{k}", "a") for k in range(128)]
+    columns = ", ".join(f"{c} AS {n}" for c, n in zip(shape + rates + chars, tx.FEATURES, strict=True))
+    return (
+        "WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents), h AS MATERIALIZED (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM d) GROUP BY ALL), "
+        f"s AS MATERIALIZED (SELECT doc_id, sum(n) AS t, {_within('00', '7F')} AS a, {_within('30', '39')} AS d, {_within('41', '5A')} AS u, {_within('61', '7A')} AS l, {_within('09', '0A')} + {_within('0D', '0D')} + {_within('20', '20')} AS w, "
+        f"{_within('0A', '0A')} AS nl, {', '.join(f'{_within(f"{k:02X}", f"{k:02X}")} AS a{k}' for k in range(128))} FROM h GROUP BY doc_id), e AS (SELECT doc_id, -sum(n / t * log2(n / t)) AS byte_entropy FROM h JOIN s USING (doc_id) GROUP BY doc_id), "
+        "k AS (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z]+')) AS words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_extract_all(text, '\\b[0-9]+\\b')) AS numbers FROM d) "
+        f"SELECT doc_id, {columns} FROM (SELECT k.*, s.* EXCLUDE (doc_id, t), coalesce(s.t, 0) AS t, byte_entropy FROM k LEFT JOIN s USING (doc_id) LEFT JOIN e USING (doc_id))"
+    )
+
+
+@query(_features_sql())
 def doc_structural_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The structural feature vector of each document (its ASCII part is doc_ascii_ratios)."""
+    """The block of 151 structural features of each document: one pass over its bytes, no shuffle."""
     ship(spark)
-    d = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", tx.byte_histogram("text").alias("h"))
-    size, t = F.octet_length("text"), F.col("text")
-    kib = size / 1024.0
-    words, numbers = F.regexp_count(t, F.lit("[A-Za-z]+")), F.regexp_count(t, F.lit("(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])"))
-    part = lambda *spans: sum((tx.slots(F.col("h"), a, b) for a, b in spans[1:]), tx.slots(F.col("h"), *spans[0]))
-    white = part((32, 32), (9, 10), (13, 13))
-    ascii_ = part((0, 127))
-    return d.select(
-        "doc_id", _round(F.log2(size + 1.0)).alias("log2_bytes"), _round(tx.entropy(F.col("h"))).alias("byte_entropy"),
-        _round(tx.safe_ratio(ascii_, size)).alias("ascii_ratio"), _round(tx.safe_ratio(size - ascii_, size)).alias("non_ascii_ratio"),
-        _round(tx.safe_ratio(part((48, 57)), size)).alias("digit_ratio"), _round(tx.safe_ratio(part((65, 90)), size)).alias("upper_ratio"),
-        _round(tx.safe_ratio(part((97, 122)), size)).alias("lower_ratio"), _round(tx.safe_ratio(white, size)).alias("whitespace_ratio"),
-        _round(tx.safe_ratio(words, kib)).alias("words_per_kib"), _round(tx.safe_ratio(F.length(F.regexp_replace(t, "[^A-Za-z]", "")), words)).alias("average_word_length"),
-        _round(tx.safe_ratio(numbers, words + numbers)).alias("number_token_ratio"), _round(tx.safe_ratio(part((10, 10)), kib)).alias("lines_per_kib"),
-        *[_round(tx.safe_ratio(tx.occurrences(t, p), kib)).alias(f"{k}_per_kib") for k, p in tx.PATTERNS.items()])
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wide = d.mapInArrow(tx.features_of, "doc_id long, " + ", ".join(f"{c} double" for c in tx.FEATURES))
+    return wide.select("doc_id", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in tx.FEATURES])  # halves of the double, not of its digits, go up
 
 
 @query(
@@ -320,37 +320,43 @@ def url_free_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("page_id").agg(F.count("*").alias("lines"), F.sum((~F.lower("line").rlike("https?://|www[.]")).cast("long")).alias("url_free"))
 
 
-def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("block"), "text")
-
-
 def _ranked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in blocks of 32 consecutive ones of the order, as in rank_blocks."""
     d = ordering.running(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", {"n": F.lit(1)})
     return d.select("doc_id", "text", (F.col("n") - 1).alias("rank"), F.floor((F.col("n") - 1) / 32).alias("block"))
 
 
-_POS = "SELECT doc_id, doc_id // 8 AS block, strlen(text) AS size, hex(encode(text)) AS hx FROM documents"
-_TRI = f"SELECT doc_id, block, size, i, substr(hx, 2 * i - 1, 4) AS ctx, substr(hx, 2 * i - 1, 6) AS gram FROM (SELECT *, unnest(range(1, size - 1)) AS i FROM ({_POS}))"
-_LOSS = (
-    f"WITH g AS MATERIALIZED ({_TRI}), tail AS (SELECT * FROM g WHERE i > size - 16384), probe AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ctx ORDER BY i) - 1 AS c0, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) - 1 AS g0 FROM g WHERE i + 2 <= 4096), "
-    "tc AS (SELECT doc_id, ctx, count(*) AS n FROM tail GROUP BY ALL), tg AS (SELECT doc_id, gram, count(*) AS n FROM tail GROUP BY ALL), d AS (SELECT doc_id, doc_id // 8 AS block FROM documents), "
-    "edges AS (SELECT s.block, s.doc_id AS source, p.doc_id AS target, sum(log2(coalesce(tc.n, 0) + c0 + 128) - log2(coalesce(tg.n, 0) + g0 + 0.5::DOUBLE)) AS bits "
-    "FROM d s JOIN probe p ON s.block = p.block AND s.doc_id <> p.doc_id LEFT JOIN tc ON tc.doc_id = s.doc_id AND tc.ctx = p.ctx LEFT JOIN tg ON tg.doc_id = s.doc_id AND tg.gram = p.gram GROUP BY ALL) "
+_GRAMS = (
+    "b AS MATERIALIZED (SELECT doc_id, rank, rank // 32 AS block, regexp_extract_all(hex(encode(text)), '..') AS b FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents)), "
+    "g AS MATERIALIZED (SELECT block, doc_id, kind, x0 || x1 AS ctx, x2 AS sym, count(*) AS n FROM (SELECT block, doc_id, kind, unnest(b[1:len(b) - 2]) AS x0, unnest(b[2:len(b) - 1]) AS x1, unnest(b[3:len(b)]) AS x2 FROM "
+    "(SELECT block, doc_id, 'probe' AS kind, b[1:4096] AS b FROM b UNION ALL SELECT block, doc_id, 'tail', b[greatest(len(b) - 16383, 1):len(b)] FROM b)) GROUP BY ALL), "
+)
+# A key that comes m times after t times costs grown(t + m) - grown(t), whatever the order; pairs meet on the keys they share.
+_EDGES = (
+    f"WITH {_GRAMS} "
+    "k AS MATERIALIZED (SELECT block, doc_id, kind, ctx || sym AS key, n, -1 AS sign FROM g UNION ALL SELECT block, doc_id, kind, ctx, sum(n)::BIGINT, 1 FROM g GROUP BY ALL), "
+    "l AS MATERIALIZED (SELECT j, sum(CASE WHEN j = 0 THEN 0 ELSE log2(j - 1 + 128::DOUBLE) END) OVER (ORDER BY j) AS near, sum(CASE WHEN j = 0 THEN 0 ELSE log2(j - 0.5::DOUBLE) END) OVER (ORDER BY j) AS seen FROM range(32768) AS r(j)), "
+    "v AS MATERIALIZED (SELECT k.*, CASE WHEN sign > 0 THEN near ELSE -seen END AS cost FROM k JOIN l ON j = n), "
+    "base AS (SELECT block, doc_id AS target, sum(cost) AS bits FROM v WHERE kind = 'probe' GROUP BY ALL), "
+    "change AS (SELECT s.doc_id AS source, p.doc_id AS target, sum(CASE WHEN p.sign > 0 THEN near ELSE -seen END - s.cost - p.cost) AS bits "
+    "FROM v p JOIN v s ON s.block = p.block AND s.key = p.key AND s.doc_id <> p.doc_id JOIN l ON j = s.n + p.n WHERE p.kind = 'probe' AND s.kind = 'tail' GROUP BY ALL), "
+    "edges AS (SELECT base.block, d.doc_id AS source, base.target, base.bits + coalesce(change.bits, 0) AS bits FROM base JOIN b d ON d.block = base.block AND d.doc_id <> base.target LEFT JOIN change ON change.source = d.doc_id AND change.target = base.target) "
 )
 
 
-@query(f"SELECT doc_id, ctx, substr(gram, 5, 2) AS sym, count(*) AS n FROM ({_TRI}) WHERE i > size - 16384 GROUP BY ALL")
+@query(f"WITH {_GRAMS} o AS (SELECT 1) SELECT doc_id, ctx, sym, n FROM g WHERE kind = 'tail'")
 def trigram_tail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return causal.grams(_blocked(spark, sf_dir)).where("kind = 'tail'").select("doc_id", "ctx", "sym", "n")
+    return causal.grams(table(spark, sf_dir, "documents").select(F.lit(0).alias("block"), "doc_id", "text")).where("kind = 'tail'").select("doc_id", "ctx", "sym", "n")
 
 
-@query(_LOSS + "SELECT source, target, round(bits, 5) AS bits FROM edges")
+@query(_EDGES + "SELECT source, target, round(bits, 5) AS bits FROM edges")
 def trigram_edge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return causal.edge_scores(_blocked(spark, sf_dir)).select("source", "target", _round("bits", 5).alias("bits"))
+    """All ordered pairs within blocks of 32 documents by rank."""
+    return causal.edge_scores(_ranked_blocks(spark, sf_dir)).select("source", "target", _round("bits", 5).alias("bits"))
 
 
-@query()
+@query(_EDGES + ", o AS (SELECT block, doc_id AS source, lead(doc_id) OVER (PARTITION BY block ORDER BY rank) AS target FROM b) "
+       "SELECT o.block, round(sum(coalesce(bits, 0)), 4) AS bits FROM o LEFT JOIN edges USING (source, target) GROUP BY o.block")
 def block_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _ranked_blocks(spark, sf_dir)
     return causal.path_scores(d.select("block", "doc_id", "rank"), causal.edge_scores(d)).select("block", _round("bits", 4).alias("bits"))
@@ -379,22 +385,31 @@ def feature_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of equal size around two centres, seeded on the axis of the largest variance."""
     e = table(spark, sf_dir, "embeddings")
-    return vectors.split(e, e.count() // 2, 2)
+    rows = e.select(F.lit("").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), F.lit(e.count() // 2).alias("left"))
+    return hierarchy.split(rows, 2).select(F.col("id").alias("vec_id"), "is_left")
 
 
-_BITS = "SELECT doc_id, i, gram, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) - 1 AS seen, i - 1 AS total FROM (SELECT doc_id, i, substr(hx, 2 * i - 1, 2) AS gram FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM (" + _POS + ")))"
+def _losses(order: int, places: int = 4) -> str:
+    """Closed form over counts: a key that comes n times costs a sum of n logarithms, in whatever order they fall."""
+    parts = ", ".join(f"unnest(b[{j + 1}:len(b) - {order - j}]) AS x{j}" for j in range(order + 1))
+    names = [f"x{j}" for j in range(order + 1)]
+    cut = f"SELECT doc_id, {' || '.join(names[:-1]) or repr('')} AS ctx, {' || '.join(names)} AS gram FROM (SELECT doc_id, {parts} FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents))"
+    return (
+        f"WITH g AS MATERIALIZED (SELECT doc_id, ctx, gram, count(*) AS n FROM ({cut}) GROUP BY ALL), c AS MATERIALIZED (SELECT doc_id, ctx, sum(n)::BIGINT AS n FROM g GROUP BY ALL), "
+        "l AS MATERIALIZED (SELECT j AS n, sum(log2(j - 1 + 128::DOUBLE)) OVER (ORDER BY j) AS near, sum(log2(j - 0.5::DOUBLE)) OVER (ORDER BY j) AS seen FROM (SELECT unnest(range(1, (SELECT max(n) FROM c) + 1)) AS j)), "
+        "x AS (SELECT doc_id, sum(c.n)::BIGINT AS bytes, sum(near) AS bits FROM c JOIN l USING (n) GROUP BY doc_id), y AS (SELECT doc_id, sum(seen) AS bits FROM g JOIN l USING (n) GROUP BY doc_id) "
+        f"SELECT doc_id, coalesce(bytes, 0) AS bytes, round(coalesce(x.bits - y.bits, 0), {places}) AS bits FROM documents LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"
+    )
 
 
-@query(f"SELECT doc_id, count(*) AS bytes, round(sum(-log2((seen + 0.5::DOUBLE) / (total + 128))), 4) AS bits FROM ({_BITS}) GROUP BY 1")
+@query(_losses(0))
 def surprisal_order0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ideal bits of each document under an adaptive byte model; a closed form over its histogram, no row for each byte."""
     ship(spark)
-    h = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), tx.byte_histogram("text").alias("h"))
-    zero = F.lit(0).cast("long")
-    grown = lambda n, plus: F.aggregate(F.sequence(zero, n - 1), F.lit(0.0), lambda a, j: a + F.log2(j + F.lit(plus)))
-    seen = F.aggregate(F.filter("h", lambda n: n > 0), F.lit(0.0), lambda a, n: a + grown(n, 0.5))
-    return h.select("doc_id", "bytes", _round(grown(F.col("bytes"), 128.0) - seen, 4).alias("bits"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), _round(tx.order0_bits("text"), 4).alias("bits"))
 
 
 _CELLS = (
@@ -467,23 +482,10 @@ def bracket_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.octet_length("t").cast("long").alias("toggled_bytes"), F.md5("t").alias("toggled_md5"), F.md5(tx.toggle_runs(F.col("t"))).alias("restored_md5"))
 
 
-def _losses(order: int) -> str:
-    """Closed form over counts: a key that comes n times costs a sum of n logarithms, in whatever order they fall."""
-    parts = ", ".join(f"unnest(b[{j + 1}:len(b) - {order - j}]) AS x{j}" for j in range(order + 1))
-    names = [f"x{j}" for j in range(order + 1)]
-    cut = f"SELECT doc_id, {' || '.join(names[:-1])} AS ctx, {' || '.join(names)} AS gram FROM (SELECT doc_id, {parts} FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents))"
-    return (
-        f"WITH g AS MATERIALIZED (SELECT doc_id, ctx, gram, count(*) AS n FROM ({cut}) GROUP BY ALL), c AS MATERIALIZED (SELECT doc_id, ctx, sum(n)::BIGINT AS n FROM g GROUP BY ALL), "
-        "l AS MATERIALIZED (SELECT j AS n, sum(log2(j - 1 + 128::DOUBLE)) OVER (ORDER BY j) AS near, sum(log2(j - 0.5::DOUBLE)) OVER (ORDER BY j) AS seen FROM (SELECT unnest(range(1, (SELECT max(n) FROM c) + 1)) AS j)), "
-        "x AS (SELECT doc_id, sum(c.n)::BIGINT AS bytes, sum(near) AS bits FROM c JOIN l USING (n) GROUP BY doc_id), y AS (SELECT doc_id, sum(seen) AS bits FROM g JOIN l USING (n) GROUP BY doc_id) "
-        "SELECT doc_id, bytes, round(x.bits - y.bits, 4) AS bits FROM x JOIN y USING (doc_id)"
-    )
-
-
 def _order_bits(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     """Whole texts in, ten sums out: no row for a byte and no shuffle."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") > order).select("doc_id", tx.class_sums(order)("text").alias("s"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.class_sums(order)("text").alias("s"))
     return docs.select("doc_id", F.slice("s", 1, 5).alias("n"), F.slice("s", 6, 5).alias("b"))
 
 
@@ -501,7 +503,12 @@ def surprisal_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_bits(spark, sf_dir, 2).select("doc_id", _total("n").cast("long").alias("bytes"), _round(_total("b"), 4).alias("bits"))
 
 
-@query()  # a window over every byte is too slow in SQL; tested against plain Python
+@query(
+    "WITH r AS (SELECT doc_id, unnest(range(1, len(b) - 1)) AS i, unnest(b[1:len(b) - 2]) AS x0, unnest(b[2:len(b) - 1]) AS x1, unnest(b[3:len(b)]) AS x2 FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents)), "
+    "l AS (SELECT x2, log2(row_number() OVER (PARTITION BY doc_id, x0, x1 ORDER BY i) - 1 + 128::DOUBLE) - log2(row_number() OVER (PARTITION BY doc_id, x0, x1, x2 ORDER BY i) - 0.5::DOUBLE) AS bits FROM r), "
+    "c AS (SELECT CASE WHEN x2 >= '80' THEN 'high' WHEN x2 BETWEEN '30' AND '39' THEN 'digit' WHEN x2 BETWEEN '41' AND '5A' OR x2 BETWEEN '61' AND '7A' THEN 'letter' WHEN x2 IN ('20', '09', '0A', '0D') THEN 'space' ELSE 'punctuation' END AS class, count(*) AS n, sum(bits) AS bits FROM l GROUP BY x2) "
+    "SELECT class, sum(n)::BIGINT AS events, round(sum(bits), 2) AS bits, round(sum(bits) / sum(n), 6) AS bits_per_event FROM c GROUP BY class"
+)
 def surprisal_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses under an adaptive order-2 byte model by class of byte."""
     each = _order_bits(spark, sf_dir, 2).select(F.posexplode(F.arrays_zip("n", "b")).alias("c", "v")).groupBy("c").agg(F.sum("v.n").cast("long").alias("events"), F.sum("v.b").alias("bits"))
@@ -553,10 +560,9 @@ _LETTERS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS
 
 
 @query(
-    f"WITH d AS ({_LETTERS} benchmark), w AS ({_LETTERS} documents), x AS (SELECT word FROM w ANTI JOIN d USING (word)), "
-    "p AS (SELECT x.word, t.n, d.word AS part, 1 AS tail FROM x, unnest(range(7, length(x.word))) AS t(n) JOIN d ON d.word = right(x.word, t.n) "
-    "UNION ALL SELECT x.word, t.n, d.word, 0 FROM x, unnest(range(7, length(x.word))) AS t(n) JOIN d ON d.word = left(x.word, t.n)), "
-    "b AS (SELECT word, max_by(part, tail * 1000000 + n) AS part, max(tail) AS tail FROM p GROUP BY word) "
+    f"WITH d AS MATERIALIZED ({_LETTERS} benchmark), w AS MATERIALIZED ({_LETTERS} documents), x AS (SELECT word FROM w ANTI JOIN d USING (word)), "
+    "cut AS MATERIALIZED (SELECT word, n, 1 AS tail, right(word, n) AS part FROM (SELECT word, unnest(range(7, length(word))) AS n FROM x) UNION ALL SELECT word, n, 0, left(word, n) FROM (SELECT word, unnest(range(7, length(word))) AS n FROM x)), "
+    "b AS (SELECT word, max_by(part, tail * 1000000 + n) AS part, max(tail) AS tail FROM cut SEMI JOIN (SELECT word AS part FROM d) USING (part) GROUP BY word) "
     "SELECT w.word, CASE WHEN d.word IS NOT NULL THEN 'whole' WHEN b.tail = 1 THEN 'suffix' WHEN b.tail = 0 THEN 'prefix' ELSE 'none' END AS kind, coalesce(d.word, b.part) AS known FROM w LEFT JOIN d USING (word) LEFT JOIN b USING (word)"
 )
 def prefix_suffix_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:

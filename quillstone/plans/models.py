@@ -9,10 +9,19 @@ from ..functions import coding, contexts
 from ..functions import text as tx
 from ..runtime import scratch_path, ship, table
 from ..streaming import adaptive
+from .catalogue import _losses
 from .registry import query
 
 
-@query()
+_ORDERS = ", ".join(f"o{k} AS MATERIALIZED ({_losses(k, 12)})" for k in range(3))
+_BITS = [f"(o{k}.bits + 8 * least({k}, o0.bytes))" for k in range(3)]
+_LEAST = f"least({', '.join(_BITS)})"
+
+
+@query(
+    f"WITH {_ORDERS} SELECT doc_id, {', '.join(f'round({b}, 4) AS order{k}' for k, b in enumerate(_BITS))}, round({_LEAST} - log2(({' + '.join(f'pow(2, {_LEAST} - {b})' for b in _BITS)}) / 3), 4) AS mixed "
+    "FROM o0 JOIN o1 USING (doc_id) JOIN o2 USING (doc_id)"
+)
 def mixture_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits of each document under orders 0 to 2 and their mixture."""
     ship(spark)

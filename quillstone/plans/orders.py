@@ -156,11 +156,11 @@ def trace_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT CASE WHEN grouping(host) = 0 THEN 'domain' WHEN grouping(scheme) = 0 THEN 'scheme' WHEN grouping(lang) = 0 THEN 'first_segment' ELSE 'total' END AS dimension, coalesce(host, scheme, lang, 'all') AS key, count(*) AS urls, sum(strlen(url))::BIGINT AS bytes, count(DISTINCT url) AS distinct_urls "
-    "FROM (SELECT url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]*)', 1) AS lang FROM pages) GROUP BY GROUPING SETS ((host), (scheme), (lang), ())"
+    "FROM (SELECT coalesce(url, '') AS url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]*)', 1) AS lang FROM pages) GROUP BY GROUPING SETS ((host), (scheme), (lang), ())"
 )
 def url_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs by host, scheme, first segment and in all; equal URLs meet first, so counts of distinct ones are sums."""
-    p = table(spark, sf_dir, "pages").where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"))
+    p = table(spark, sf_dir, "pages").groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.count("*").alias("n"))
     keys = F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("key")) for k, v in (
         ("domain", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)), ("scheme", F.regexp_extract("url", "^([a-z]+)://", 1)),
         ("first_segment", F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^/?#]*)", 1)), ("total", F.lit("all")))])

@@ -84,10 +84,20 @@ def test_blocks_hold_32_consecutive_documents_of_sparse_ids(spark, tmp_path):
         assert abs(mine[0].block_bits - sum(_score(texts[x.doc_id].encode(), texts[y.doc_id].encode()) for x, y in zip(mine, mine[1:], strict=False))) < 1e-3
 
 
-def test_entropy_and_histogram(spark):
-    ship(spark)
-    r = spark.createDataFrame([("aabb",), ("",), (None,)], "t string").select(tx.byte_histogram("t").alias("h")).select(tx.entropy(F.col("h")).alias("e")).collect()
-    assert [x.e for x in r] == [1.0, 0.0, 0.0]
+def test_structural_features_by_hand():
+    got = dict(zip(tx.FEATURES, tx.structural_features("Ab 12 x3 [[é]]\n{{".encode()), strict=True))
+    size = 18
+    assert len(tx.FEATURES) == 151 and got["log2_bytes"] == math.log2(size + 1) and got["digit_ratio"] == 3 / size and got["non_ascii_ratio"] == 2 / size
+    assert (got["words_per_kib"], got["average_word_length"], got["number_token_ratio"]) == (2 * 1024 / size, 3 / 2, 1 / 3)  # Ab, x; 12, since x3 is no number
+    assert got["link_open_per_kib"] == got["template_open_per_kib"] == got["lines_per_kib"] == 1024 / size and got["ascii_091"] == 2 / 16
+    assert not tx.structural_features(b"").any()
+    long = b"word 7 " * 400_000
+    assert dict(zip(tx.FEATURES, tx.structural_features(long), strict=True))["words_per_kib"] == 400_000 * 1024 / len(long)
+
+
+def test_features_of_null_and_empty_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "i long, text string").mapInArrow(tx.features_of, "i long, " + ", ".join(f"{c} double" for c in tx.FEATURES)).collect()
+    assert {r.i: r.ascii_097 for r in rows} == {1: 0.0, 2: 0.0, 3: 1.0}
 
 
 def test_toggled_runs_come_back(spark):
