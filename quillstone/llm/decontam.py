@@ -6,8 +6,9 @@ fewer words is one window of all its words). Words whose pair with the next word
 a match, so only runs of item pairs reach the automaton: found in NumPy over whole Arrow columns, with no shuffle.
 
 Defined cases: a null or empty text has no words, so nothing is hit; a null or empty item has no window; repeated
-items and repeated documents count each; an empty benchmark hits nothing; further columns are ignored (evaluate) or
-kept (clean). Benchmarks of more than SHARD_WORDS words become several automata, passed over one after the other.
+items and repeated documents count each; an empty benchmark hits nothing; texts of any length are read whole; an empty
+table gives no rows; further columns, of any name, are ignored (evaluate) or kept (clean). Benchmarks of more than
+SHARD_WORDS words become several automata, passed over one after the other.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..runtime import ship
+from ..runtime import drop_scratch, free_names, materialize, ship
 from .words import WORD_TABLE, iter_words, mix, words_of
 from .workers import tidy, with_texts
 
 WINDOW = 13
 COVERAGE = 0.05
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 500_000
 _TABLE_BITS = 20
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -200,7 +201,7 @@ def _load(spark, benchmark: DataFrame, window: int) -> list:
 
 
 _HIT = "array<struct<s:int,e:int,bs:int,be:int>>"
-_STATE = ("_n_words", "_items", "_longest", "_hits")
+_STATE = ("n_words", "items", "longest", "hits")
 Finish = Callable[[pa.RecordBatch, list[int], list[list[str]], list[int], list[list[dict]]], pa.RecordBatch]
 
 
@@ -208,23 +209,23 @@ def _through(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish,
     """docs through every shard's automaton; the last pass ends with finish.
 
     finish gets a batch of docs and, for each row, its words, items, longest match and hits: word spans [s, e) and byte
-    spans [bs, be). Between shards these travel as columns beside the documents, so there is no shuffle.
+    spans [bs, be). Between shards these are written beside the documents, as the last columns; there is no shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
-    df, names = docs, docs.columns
+    df, names, written = docs, docs.columns, None
     shards = _load(spark, benchmark, window)
     for k, shared in enumerate(shards):
         if k == 0 and len(shards) > 1:
-            df = df.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<string>").alias("_items"), F.lit(0).alias("_longest"), F.array().cast(_HIT).alias("_hits"))
+            state = zip(free_names(docs, *_STATE), (F.lit(0).cast("long"), F.array().cast("array<string>"), F.lit(0), F.array().cast(_HIT)), strict=True)
+            df = df.select("*", *[v.alias(c) for c, v in state])
         last = k + 1 == len(shards)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, between=len(shards) > 1) -> Iterator[pa.RecordBatch]:
             matcher = shared.value
             for batch in batches:
                 n = batch.num_rows
-                between = batch.schema.names[-1] == "_hits"
-                items, longest, hits = (batch.column(c).to_pylist() for c in _STATE[1:]) if between else ([[] for _ in range(n)], [0] * n, [[] for _ in range(n)])
+                items, longest, hits = (batch.column(c).to_pylist() for c in (-3, -2, -1)) if between else ([[] for _ in range(n)], [0] * n, [[] for _ in range(n)])
                 counts = np.zeros(n, np.int64)
                 for w in iter_words(batch.column(batch.schema.names.index("text"))):
                     counts[w.first : w.last] = np.diff(w.doc)
@@ -236,14 +237,20 @@ def _through(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish,
                         hits[row] += [{"s": a + s - zero, "e": a + e - zero, "bs": int(w.starts[a + s]) - base, "be": int(w.ends[a + e - 1]) - base} for s, e in spans]
                         items[row] = sorted({*items[row], *found})
                         longest[row] = max(longest[row], most)
-                own = batch.select(names)
+                own = batch.select(list(range(len(names))))
                 if last:
                     yield finish(own, counts.tolist(), items, longest, hits)
                 else:
-                    types = [batch.schema.field(c).type for c in _STATE]
+                    types = [f.type for f in list(batch.schema)[len(names) :]]
                     yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(v, t) for v, t in zip((counts, items, longest, hits), types, strict=True))], schema=batch.schema)
 
         df = df.mapInArrow(tidy(run), schema if last else df.schema)
+        if not last:  # one pass at a time, so that only its automaton is in memory
+            df = materialize(df, "decontamination")
+            shared.destroy()
+            if written is not None:
+                drop_scratch(written)
+            written = df
     return df
 
 

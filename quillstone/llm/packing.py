@@ -11,13 +11,15 @@ Up to QUEUES sources, every task holds all totals. With more, totals stay in tab
 tokens from their own queue's total, and running sums over (round, queue) give the places; the result is the same.
 
 Defined cases: a null text is empty, an empty document is its end token alone; a null source is the queue ''; repeated
-rows are packed each; an empty table gives no rows; further columns are ignored.
+rows are packed each; texts of any length are cut into as many pieces as they need; ids may have any type; an empty table
+gives no rows; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,13 @@ QUEUES = 1024
 END = 0
 
 
+class Mix(NamedTuple):
+    """Target proportions: given ones, and the power of their own shares that other sources have."""
+
+    weights: dict[str, float] = {}
+    exponent: float = 1.0
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """A written table of doc_id, queue, part (task), at (tokens of this queue before it in the task), n, ids (bytes)."""
     ship(docs.sparkSession)
@@ -66,22 +75,21 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     return materialize(rows.mapInArrow(tidy(run, tokens=True), f"doc_id {kind}, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
-def _weight(weights: dict[str, float], queue: str, total: int, rest: int) -> int:
-    """A queue's weight: the given one, else its own share."""
-    return max(1, round((weights.get(queue, 0) or total / rest) * 10**9))
+def _weight(mix: Mix, queue: str, total: int, rest: int) -> int:
+    """A queue's weight: the given one, else a power of its own share."""
+    if mix == Mix():
+        return total
+    return max(1, round(mix.weights.get(queue, (total / rest) ** mix.exponent) * 10**9))
 
 
 class Rounds:
     """What each queue has sent after k rounds, and where its tokens stand in the packed stream."""
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, window: int) -> None:
+    def __init__(self, totals: dict[str, int], mix: Mix, window: int) -> None:
         self.names = sorted(totals)
         self.total = [totals[q] for q in self.names]
-        if weights:
-            rest = sum(self.total) or 1
-            self.weight = [_weight(weights, q, t, rest) for q, t in zip(self.names, self.total, strict=True)]
-        else:
-            self.weight = list(self.total)
+        rest = sum(self.total) or 1
+        self.weight = [_weight(mix, q, t, rest) for q, t in zip(self.names, self.total, strict=True)]
         self.of = {q: k for k, q in enumerate(self.names)}
         self.window, self.sum = window, sum(self.weight) or 1
         self._known: dict[int, list[int]] = {}
@@ -107,14 +115,14 @@ class Rounds:
             done += take
 
 
-def _placed(placed: DataFrame, totals: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
+def _placed(placed: DataFrame, totals: DataFrame, mix: Mix, window: int) -> DataFrame:
     """A row for each run of a document's tokens in a round: doc_id, queue, first, size, n, ids, at (place in the packed stream)."""
     rest = totals.agg(F.sum("total")).first()[0] or 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("queue").to_pylist(), batch.column("total").to_pylist(), strict=True)
-            yield batch.append_column("weight", pa.array([_weight(weights, q, t, rest) if weights else t for q, t in rows], pa.int64()))
+            yield batch.append_column("weight", pa.array([_weight(mix, q, t, rest) for q, t in rows], pa.int64()))
 
     weighed = materialize(totals.mapInArrow(tidy(weigh), "queue string, total long, weight long"), "queue-weights")
     whole = weighed.agg(F.sum("weight")).first()[0] or 1
@@ -154,12 +162,17 @@ def _placed(placed: DataFrame, totals: DataFrame, weights: dict[str, float] | No
     return runs.join(begins, ["queue", "round"]).select("doc_id", "queue", "first", "size", "n", "ids", (F.col("begin") + F.col("inner")).alias("at"))
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, end: int = END, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, end: int = END, keep_ids: bool = False, exponent: float = 1.0) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
-    weights: target proportions by source; by default the sources' own, so that all queues run empty together.
+    weights: target proportions by source, over 0 (all documents are packed, so none can be left out); sources without
+    one have their own share of the tokens to the power of exponent: by default just that, so that all run empty
+    together; under 1 small sources come more often, until they are empty.
     keep_ids: also the piece's ids, as an array.
     """
+    mix = Mix(weights or {}, exponent)
+    if any(w <= 0 for w in mix.weights.values()):
+        raise ValueError("target proportions must be over 0; take the documents of other sources out first")
     rows = tokenized(docs, tokenizer, end)
     sums = materialize(rows.groupBy("queue", "part").agg(F.sum("n").alias("n")), "token-sums")
     totals = materialize(sums.groupBy("queue").agg(F.sum("n").alias("total")), "queue-totals")
@@ -168,9 +181,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
     placed = rows.join(maybe_broadcast(base, sums.count()), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
     if many:
-        placed, rounds = _placed(placed, totals, weights, window), None
+        placed, rounds = _placed(placed, totals, mix, window), None
     else:
-        rounds = Rounds({r.queue: r.total for r in totals.toLocalIterator()}, weights, window)
+        rounds = Rounds({r.queue: r.total for r in totals.toLocalIterator()}, mix, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +213,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
     return placed.mapInArrow(tidy(run), schema + ", ids array<int>" * keep_ids)
 
 
-def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, end: int = END, pad: int = END) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, end: int = END, pad: int = END, exponent: float = 1.0) -> DataFrame:
     """sequence_id, ids (padded to length), n (ids before the padding)."""
-    pieces = pack(docs, tokenizer, length, window, weights, end, keep_ids=True)
+    pieces = pack(docs, tokenizer, length, window, weights, end, keep_ids=True, exponent=exponent)
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     whole = pieces.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
     return whole.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(pad), length - F.size("ids"))).alias("ids"), F.size("ids").alias("n"))

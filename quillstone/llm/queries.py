@@ -11,6 +11,10 @@ from ..runtime import table
 from . import ann, decontam, jaccard, lmscore, packing, secrets, sharding, toxicity, urlfilter, warc
 
 
+MIX = 0.7
+"""Packing's target proportions are shares of tokens to this power, as is usual for mixtures of sources of unlike sizes."""
+
+
 def tokenizer_path() -> str:
     """The public byte-level BPE tokenizer that the packing query uses."""
     import public_tokenizers
@@ -27,7 +31,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), exponent=MIX)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

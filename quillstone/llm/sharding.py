@@ -3,8 +3,9 @@
 Appending a shard moves a row only into the new shard, 1/n of the rows on average. Slots are numbered without a
 shuffle of rows: each task numbers its rows within each shard, and only the counts of (task, shard) are summed.
 
-Defined cases: a null text has no bytes (size 1, crc32 0); a null doc_id is hashed as the key 0; repeated rows get
-the same shard and slots of their own; an empty table gives no rows; further columns are ignored.
+Defined cases: a null text has no bytes (size 1, crc32 0); a null doc_id is hashed as the key 0, ids that aren't
+integers by the hash of their text; texts of any length are read by the JVM and never leave it; repeated rows get the
+same shard and slots of their own; an empty table gives no rows; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..runtime import materialize, maybe_broadcast, ship
 from .words import mix
@@ -45,19 +47,25 @@ def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
     return jump_hash(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), shards)
 
 
+def stable_key(docs: DataFrame, key: str) -> Column:
+    """An integer key as it is; other ones by a hash of their text; null stays null."""
+    kind = docs.schema[key].dataType
+    return F.col(key).cast("long") if isinstance(kind, IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law ('key'), shard, slot (gapless from 0 in each shard), grown_shard (with one more)."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    thin = docs.select(F.col(key).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    thin = docs.select(F.col(key).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), stable_key(docs, key).alias("stable"))
     kind = thin.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(shards, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            ids = batch.column("stable").fill_null(0).to_numpy(zero_copy_only=False)
             shard = shard_of(ids, shards)
             order = np.argsort(shard, kind="stable")
             counts = np.bincount(shard, minlength=shards)

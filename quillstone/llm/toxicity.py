@@ -8,8 +8,9 @@ K nearest examples vote, weighted by cosine and by how many labelled documents a
 fitted to the examples' own leave-one-out votes turns votes into rates. The evidence is the nearest examples.
 
 Defined cases: a null or empty text, and one without any such word, gets the rate of examples without such words;
-without labels every score is 0; several labels of one document count as toxic if one does; repeated rows each get a
-row; an empty table gives no rows; further columns are ignored (score) or kept (reject).
+without labels every score is 0; several labels of one document count as toxic if one does; of equal cosines the example
+of the smaller id is nearer; texts of any length are read whole; ids may have any type; repeated rows each get a row; an
+empty table gives no rows; further columns, of any name, are ignored (score) or kept (reject).
 """
 
 from __future__ import annotations
@@ -126,15 +127,15 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 class Model:
     """Vocabulary, index, votes and calibration; small enough to broadcast (POSITIVE and NEGATIVE bound it)."""
 
-    def __init__(self, keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, float, dict[int, int]]]) -> None:
+    def __init__(self, keys: np.ndarray, idf: np.ndarray, examples: list[tuple[str, int, float, dict[int, int]]]) -> None:
         self.keys, self.idf = keys, idf
         whole = sum(w for _, _, w, _ in examples)
         self.prior = sum(w * y for _, y, w, _ in examples) / whole if whole else 0.0
         vectors = [(i, y, w, self.vector(tf)) for i, y, w, tf in examples]
         none = [(y, w) for _, y, w, v in vectors if not v]
         self.zero = sum(y * w for y, w in none) / sum(w for _, w in none) if none else self.prior
-        some = sorted(((i, y, w, v) for i, y, w, v in vectors if v), key=lambda e: (max(e[3], key=lambda t: (e[3][t], -t)), e[0]))
-        self.ids = np.array([e[0] for e in some], np.int64)
+        some = sorted(((i, y, w, v) for i, y, w, v in vectors if v), key=lambda e: (max(e[3], key=lambda t: (e[3][t], -t)), len(e[0]), e[0]))
+        self.ids = [e[0] for e in some]
         self.y = np.array([e[1] for e in some], np.int64)
         self.w = np.array([e[2] for e in some])
         self.index = BlockMaxIndex([e[3] for e in some], len(keys))
@@ -164,7 +165,7 @@ class Model:
             rows, cosines = self.index.search(self.vector(tf), K)
             vote = self._vote(rows, cosines)
             rate = float(self.rates[max(0, int(np.searchsorted(self.knots, vote, "right")) - 1)])
-            near = [{"doc_id": int(self.ids[r]), "cosine": float(c), "toxic": int(self.y[r])} for r, c in zip(rows[:3], cosines[:3], strict=True)]
+            near = [{"doc_id": self.ids[r], "cosine": float(c), "toxic": int(self.y[r])} for r, c in zip(rows[:3], cosines[:3], strict=True)]
             self.seen[key] = (min(1.0, max(0.0, 0.99 * rate + 0.01 * vote)), near)
         return self.seen[key]
 
@@ -204,11 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
             for w in iter_words(batch.column("text"), PREFIXES):
                 rows = list(_terms(w))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(w.first, w.last - w.first).cast(pa.int64()), "toxic": batch.column("toxic").slice(w.first, w.last - w.first),
+                    "doc_id": batch.column("doc_id").slice(w.first, w.last - w.first), "toxic": batch.column("toxic").slice(w.first, w.last - w.first),
                     "h": pa.array([h.view(np.int64) for h, _ in rows], pa.list_(pa.int64())), "tf": pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32())),
                 })
 
-    rows = materialize(texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(tidy(run), "doc_id long, toxic int, h array<long>, tf array<int>"), "label-words")
+    rows = materialize(texts.select(F.col("doc_id").cast("string"), "toxic", "text").mapInArrow(tidy(run), "doc_id string, toxic int, h array<long>, tf array<int>"), "label-words")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     weight = {y: max(1.0, totals.get(y, 0) / max(1, n.get(y, 0))) for y in (0, 1)}
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
             examples.append((r.doc_id, r.toxic, weight[r.toxic], dict(sorted(found_tf.get((r.doc_id, r.toxic), {}).items()))))
     else:
         examples = [(r.doc_id, r.toxic, weight[r.toxic], {}) for r in rows.select("doc_id", "toxic").toLocalIterator()]
-    examples.sort(key=lambda e: (e[0], e[1]))
+    examples.sort(key=lambda e: (len(e[0]), e[0], e[1]))  # integers in their order
     return Model(keys, idf, examples)
 
 
@@ -256,10 +257,11 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(w.first, n), "held_out": batch.column("held_out").slice(w.first, n),
                     "score": pa.array([s for s, _ in got], pa.float64()), "predicted": pa.array([int(s >= cut) for s, _ in got], pa.int32()),
-                    "evidence": pa.array([e for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
+                    "evidence": pa.array([e for _, e in got], pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
                 })
 
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    scored = rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:string,cosine:double,toxic:int>>")
+    return scored.withColumn("evidence", F.col("evidence").cast(f"array<struct<doc_id:{kind},cosine:double,toxic:int>>"))
 
 
 def reject(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import maybe_broadcast, ship
+from ..runtime import free_names, materialize, maybe_broadcast, ship
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 DEFAULT = "allow"
@@ -59,6 +59,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         right = maybe_broadcast(rules.select("*", F.substring("digest", 1, PREFIX_HEX).alias("short")), lengths.n)
         rank = F.struct((F.length("r_host") + F.length("r_path")).alias("whole"), F.length("r_host").alias("hosts"), (F.col("r_verdict") == "block").cast("int").alias("strict"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
         best = left.join(right, "short").where(F.col("term") == F.col("digest")).groupBy("url").agg(F.max(rank).alias("best")).select("url", "best.rule", "best.verdict")
+        best = materialize(best, "url-verdicts")
         fits = best.count()
     else:
         best, fits = urls.select("url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).limit(0), 0
@@ -69,5 +70,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 def allowed(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """The pages whose verdict is allow, with all their columns."""
     verdicts = judge(pages.select(F.lit(0).alias("page_id"), "url").distinct(), rules, default)
-    return pages.select("*", host_of(F.col("url")).alias("_host"), path_of(F.col("url")).alias("_path")).join(
-        verdicts.where(F.col("verdict") == "allow").select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct(), ["_host", "_path"], "left_semi").select(*pages.columns)
+    host, path, of_host, of_path = free_names(pages, "host", "path", "of_host", "of_path")
+    fine = materialize(verdicts.where(F.col("verdict") == "allow").select(F.col("host").alias(of_host), F.col("path").alias(of_path)).distinct(), "allowed")
+    named = pages.withColumn(host, host_of(F.col("url"))).withColumn(path, path_of(F.col("url")))
+    same = (F.col(host) == F.col(of_host)) & (F.col(path) == F.col(of_path))
+    return named.join(maybe_broadcast(fine, fine.count()), same, "left_semi").drop(host, path)

@@ -14,6 +14,7 @@ payload are all responses; an empty table gives no rows; further columns are ign
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -34,6 +35,7 @@ from .workers import tidy
 
 MEMBER = 16 << 20
 PACKAGE = 512 << 20
+KINDS = ("response", "resource", "conversion", "revisit")
 DATE = "2000-01-01T00:00:00Z"
 READ_AHEAD = 1 << 20
 _M32, _M16 = 0xFFFFFFFF, 0xFFFF
@@ -179,12 +181,25 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of a record's gzip stream."""
-    raw = zlib.decompress(data, 31)
+    """Headers (by lower-case name) and payload of a record, as a gzip stream or bare."""
+    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = raw.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(headers["Content-Length"])]
-    return headers, block.partition(b"\r\n\r\n")[2]
+    fields = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    headers = {name.strip().lower(): value.strip() for name, _, value in fields}
+    block = rest[: int(headers["content-length"])]
+    return headers, block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+
+
+def index_entries(name: str, data: bytes) -> Iterator[dict]:
+    """The JSON entries of a CDXJ index, bare or gzipped (several streams); lines of other kinds hold none."""
+    if name.endswith(".gz"):
+        data = gzip.decompress(data)
+    for line in data.decode("utf-8", "replace").splitlines():
+        _, brace, rest = line.partition("{")
+        if brace and not line.startswith("!"):
+            entry = json.loads(brace + rest)
+            if "filename" in entry and "offset" in entry:
+                yield entry
 
 
 class _Package:
@@ -262,6 +277,8 @@ def write(pages: DataFrame, path: str | None = None) -> DataFrame:
 def read(packages: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row for each record of the packages (column path): page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
+    Packages of other writers too: bare or gzipped indexes and records, headers in any case. Records without a payload
+    of their own or a digest by SHA-1 get what can be computed, else null; other types (request, warcinfo) are passed over.
     A response whose payload doesn't have the digest or the length of its headers raises an error.
     """
     ship(packages.sparkSession)
@@ -274,22 +291,27 @@ def read(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                     package = PackageReader(f, f.size())
                     entries: dict[str, list[dict]] = {}
                     for name in package.members:
-                        if name.startswith("indexes/"):
-                            for line in package.member(name).decode().splitlines():
-                                e = json.loads(line.split(" ", 2)[2])
-                                entries.setdefault(f"archive/{e['filename']}", []).append(e)
+                        if name.startswith("indexes/") and not name.endswith(".idx"):
+                            for e in index_entries(name, package.member(name)):
+                                entries.setdefault(f"archive/{e['filename'].removeprefix('archive/')}", []).append(e)
                     rows: list[tuple] = []
                     size = 0
                     for name in sorted(entries):
-                        spans = sorted((e["offset"], e["length"]) for e in entries[name])
+                        spans = sorted({(int(e["offset"]), int(e["length"])) for e in entries[name]})
                         for data in package.ranges(name, spans):
                             h, payload = parse(data)
-                            digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                            n = int(h["WARC-X-Payload-Length"])
-                            if h["WARC-Type"] == "response" and (len(payload) != n or digest32(payload) != digest):
+                            kind = h["warc-type"]
+                            if kind not in KINDS:
+                                continue
+                            whole = kind != "revisit"
+                            method, _, digest = h.get("warc-payload-digest", "").rpartition(":")
+                            n = int(h["warc-x-payload-length"]) if "warc-x-payload-length" in h else len(payload) if whole else None
+                            if whole and (len(payload) != n or (method == "sha1" and digest32(payload) != digest.upper())):
                                 raise ValueError(f"{path}, {name}: a payload differs from its digest")
-                            page, refers = h.get("WARC-X-Page-ID"), h.get("WARC-X-Refers-To-Page-ID")
-                            rows.append((page and int(page), n, digest, h["WARC-Type"], refers and int(refers), unquote(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else None, payload if with_payload else None))
+                            digest = digest.upper() if method == "sha1" else digest32(payload) if whole else None
+                            page, refers = h.get("warc-x-page-id"), h.get("warc-x-refers-to-page-id")
+                            url = unquote(h["warc-target-uri"].strip("<>")) if "warc-target-uri" in h else None
+                            rows.append((page and int(page), n, digest, kind, refers and int(refers), url, payload if with_payload else None))
                             size += len(payload) * with_payload
                             if len(rows) >= 4096 or size > MEMBER:
                                 yield _batch(rows, with_payload)
