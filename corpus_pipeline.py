@@ -33,7 +33,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, mixed by source."""
-    return packing.pack(docs, queries.tokenizer_path())
+    return packing.pack(docs, queries.tokenizer_path(), exponent=queries.MIX)
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("decontamination", decontaminate), ("secrets", redact_secrets), ("packing", pack)]
