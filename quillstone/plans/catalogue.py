@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import causal, hierarchy, ordering, vectors
+from ..operators import causal, control, hierarchy, ordering, vectors
 from ..runtime import ship, table
 from .registry import query
 
@@ -441,16 +441,8 @@ _GAINS = (
 
 @query(_GAINS + "SELECT confidence, disagreement, scale, support, round(train, 3) AS train, round(valid, 3) AS valid FROM best WHERE k = 1 AND support >= 30 AND train > 1 AND tune > 0 AND valid > 0 ORDER BY valid DESC LIMIT 32")
 def rule_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules: cells whose best scale gains on training, tuning and validation splits (the number of rules is the feature)."""
-    c = _cells(spark, sf_dir)
-    on = ["split", "confidence", "disagreement"]
-    base = c.where("scale = 2").select(*on, F.col("n").alias("support"), F.col("bits").alias("base"))
-    gain = F.col("base") - F.col("bits")
-    part = lambda cond, value: F.sum(F.when(cond, value).otherwise(0))
-    g = c.where("scale <> 2").join(base, on).groupBy("confidence", "disagreement", "scale").agg(
-        part(F.col("split") < 5, F.col("support")).alias("support"), part(F.col("split") < 5, gain).alias("train"), part(F.col("split") == 5, gain).alias("tune"), part(F.col("split") == 6, gain).alias("valid"))
-    best = g.groupBy("confidence", "disagreement").agg(F.max(F.struct("train", "scale", "support", "tune", "valid")).alias("b")).select("confidence", "disagreement", "b.*")
-    kept = best.where("support >= 30 AND train > 1 AND tune > 0 AND valid > 0").orderBy(F.desc("valid")).limit(32)
+    """Rules: cells whose best scale gains on training, tuning and validation splits; a support of 30 and a gain of 1 fit the table's size."""
+    kept = control.compile_rules(_cells(spark, sf_dir), support=30, gain=1.0)
     return kept.select("confidence", "disagreement", "scale", "support", _round("train", 3).alias("train"), _round("valid", 3).alias("valid"))
 
 

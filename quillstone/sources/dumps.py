@@ -17,14 +17,21 @@ NOT_LANGUAGE = ("http:", "user:", "media:", "image:", "category:", "r:Wikipédia
 TAIL_AFTER_LINES = 4
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """page_index (from 0, in the order of the files), raw: what stands between the lines of a page.
 
     Files are split by bytes and read in parallel. The part before the first page and a last page that is cut off are
-    no pages, nor is one without a closing line; a file without pages gives no rows.
+    no pages, nor is one without a closing line; a file without pages gives no rows. strict: ValueError if a page begins
+    inside another one, that is, if anything but a file's beginning and its last page lacks a closing line.
     """
     rows = spark.read.option("lineSep", PAGE_OPEN).text(path).select(
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_at"), F.col("value").alias("raw"))
+    if strict:
+        open_ = ~F.col("raw").contains(PAGE_CLOSE)
+        ends = rows.groupBy("_at.file").agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count(F.when(open_, 1)).alias("unclosed"), F.max(F.when(open_, F.col("_at"))).alias("latest"), F.min(F.when(open_, F.col("_at"))).alias("earliest"))
+        fine = F.when(F.col("earliest") == F.col("first"), 1).otherwise(0) + F.when((F.col("latest") == F.col("last")) & (F.col("first") != F.col("last")), 1).otherwise(0)
+        if not ends.where(F.col("unclosed") > fine).isEmpty():
+            raise ValueError(f"{path}: a page begins inside another one")
     pages = rows.where(F.col("raw").contains(PAGE_CLOSE)).withColumn("raw", F.substring_index("raw", PAGE_CLOSE, 1))
     return ordering.running(pages, "_at", {"n": F.lit(1)}).select((F.col("n") - 1).alias("page_index"), "raw")
 

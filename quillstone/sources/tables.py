@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,35 @@ def align(blocks: list[DataFrame]) -> DataFrame:
     return out
 
 
+def write_trace(rows: DataFrame, path: str, magic: bytes) -> None:
+    """Binary traces, one for each task that has records, under path: magic, then the records in their order."""
+    names = list(TRACE_RECORD.names)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner, recursive=True)
+        out, n = None, 0
+        name, attempt = f"part-{TaskContext.get().partitionId():05d}.bin", uuid.uuid4().hex
+        for batch in batches:
+            if batch.num_rows:
+                if out is None:
+                    out = store.open_output_stream(f"{inner}/_{name}.{attempt}", compression=None)  # hidden until it is whole
+                    out.write(magic)
+                records = np.zeros(batch.num_rows, TRACE_RECORD)
+                for c in names:
+                    records[c] = batch.column(c).to_numpy(zero_copy_only=False)
+                out.write(records.tobytes())
+                n += batch.num_rows
+        if out is not None:
+            out.close()
+            if store.get_file_info(f"{inner}/{name}").type == fs.FileType.File:  # an earlier attempt's, with the same records
+                store.delete_file(f"{inner}/{name}")
+            store.move(f"{inner}/_{name}.{attempt}", f"{inner}/{name}")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select(*names).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def read_trace(spark: SparkSession, path: str, magic: bytes, warmup: int = 0) -> DataFrame:
     """Records of binary traces (each file under 2 GB) from byte_pos warmup on.
 

@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillstone.functions import classes
+from quillstone.functions import classes, roles
+from quillstone.operators import control
 from quillstone.plans.analysis import parse_block, parse_segments
+from quillstone.sources import dumps, tables
 
 
 def test_classes_by_hand():
@@ -116,3 +118,51 @@ def test_user_specs():
     for bad in ("0:5,4:2", "190:20", "3:0"):
         with pytest.raises(ValueError, match="segments"):
             parse_segments(bad, 200)
+
+
+def test_roles_of_bytes():
+    assert roles.byte_roles("http://a.b/c/d.e.f?g=h&i#j") == [("scheme", 7), ("domain", 3), ("path_segment", 2), ("path_segment", 2), ("extension", 4), ("query_key", 2), ("query_value", 2), ("query_key", 2), ("fragment", 2)]
+    assert roles.byte_roles("no url") == [] and roles.byte_roles("ftp://é/") == [("scheme", 6), ("domain", 2), ("path_segment", 1)]
+
+
+def test_corrections_learn_their_roles_only():
+    c = roles.Correction()
+    others = [0.8, 0.3, 0.9999, 0.5, 0.6]
+    before = c.predict(0.4, others, "query_key", 17)
+    assert abs(before - 0.4) < 1e-12
+    for _ in range(50):
+        c.learn(0.4, others, "query_key", 17, 1)
+        c.learn(0.4, others, "domain", 17, 0)
+    assert c.predict(0.4, others, "query_key", 17) > c.predict(0.4, others, "query_key", 18) > 0.4 and c.predict(0.4, others, "domain", 17) == 0.4
+    assert c.features([0.9999999])[1] == 4 and list(c.features([])) == [1, 0, 0, 0, 0, 0]
+
+
+def test_halves_cost_as_much_as_whole_bytes():
+    counts = np.bincount(np.frombuffer(b"abracadabra" * 3 + bytes(range(256)), np.uint8), minlength=256)
+    share = counts[counts > 0] / counts.sum()
+    assert abs(roles.halved_bits(counts) + float((counts[counts > 0] * np.log2(share)).sum())) < 1e-9 and roles.halved_bits(np.zeros(256, int)) == 0
+
+
+def test_a_page_inside_another_is_an_error(spark, tmp_path):
+    page = dumps.PAGE_OPEN + "    <id>1</id>\n" + dumps.PAGE_CLOSE
+    for name, text, fine in (("a", "<head>\n" + page * 2 + dumps.PAGE_OPEN + "cut", True), ("b", page + dumps.PAGE_OPEN + "x\n" + page, False), ("c", page, True)):
+        (tmp_path / name).write_text(text)
+        if fine:
+            assert dumps.read_pages(spark, f"file://{tmp_path}/{name}", strict=True).count() == text.count(dumps.PAGE_CLOSE)
+        else:
+            with pytest.raises(ValueError, match="inside"):
+                dumps.read_pages(spark, f"file://{tmp_path}/{name}", strict=True)
+
+
+def test_traces_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(k, k % 65536, 3, k % 8, k % 2, 1, k % 9) for k in range(5000)], tables.TRACE_SCHEMA).repartition(3)
+    tables.write_trace(rows, f"file://{tmp_path}/t", b"FX2NBP1\0")
+    got = tables.read_trace(spark, f"file://{tmp_path}/t", b"FX2NBP1\0", warmup=10)
+    assert sorted(got.collect()) == sorted(rows.where("byte_pos >= 10").collect())
+
+
+def test_rules_need_their_support_and_gain(spark):
+    cells = [(s, 1, 2, scale, 40_000, 1000.0 - 100 * (scale == 4) + 5 * (scale == 0)) for s in range(8) for scale in range(5)] + [(s, 3, 3, scale, 10, 10.0 - (scale == 1)) for s in range(8) for scale in range(5)]
+    df = spark.createDataFrame(cells, "split int, confidence int, disagreement int, scale int, n long, bits double")
+    assert [(r.confidence, r.scale, r.support, r.train, r.holdout) for r in control.compile_rules(df).collect()] == [(1, 4, 200_000, 500.0, 100.0)]
+    assert control.compile_rules(df, support=30, gain=1.0).count() == 2
