@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import causal, control, hierarchy, ordering, vectors
-from ..runtime import ship, table
+from ..runtime import maybe_broadcast, ship, spread, table
 from .registry import query
 
 
@@ -50,7 +50,7 @@ def _features_sql() -> str:
 def doc_structural_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block of 151 structural features of each document: one pass over its bytes, no shuffle."""
     ship(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     wide = d.mapInArrow(tx.features_of, "doc_id long, " + ", ".join(f"{c} double" for c in tx.FEATURES))
     return wide.select("doc_id", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in tx.FEATURES])  # halves of the double, not of its digits, go up
 
@@ -157,7 +157,7 @@ def cluster_min_rank_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     firsts = d.groupBy("source").agg(F.min("doc_id").alias("first_of_cluster"))
     ranks = firsts.withColumn("cluster_rank", F.row_number().over(Window.orderBy("first_of_cluster")).cast("long"))  # a row for each cluster
-    return d.join(F.broadcast(ranks), "source").select("doc_id", "source", "first_of_cluster", "cluster_rank")
+    return d.join(maybe_broadcast(ranks, ranks.count()), "source").select("doc_id", "source", "first_of_cluster", "cluster_rank")
 
 
 @query(
@@ -218,7 +218,7 @@ _WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lowe
 @query(f"WITH w AS ({_WORDS}) SELECT word, n, idx, (CASE WHEN idx < 80 THEN 1 WHEN idx < 3920 THEN 2 WHEN idx < 44880 THEN 3 ELSE 0 END)::INT AS code_bytes FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS idx FROM w)")
 def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by frequency, their ranks and the length of their codes."""
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    w = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     r = ordering.running(w.withColumn("o", F.struct((-F.col("n")).alias("m"), "word")), "o", {"k": F.lit(1)}).withColumn("idx", F.col("k") - 1)
     return r.select("word", "n", "idx", F.when(F.col("idx") < 80, 1).when(F.col("idx") < 3920, 2).when(F.col("idx") < 44880, 3).otherwise(0).alias("code_bytes"))
 
@@ -477,7 +477,7 @@ def bracket_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_bits(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     """Whole texts in, ten sums out: no row for a byte and no shuffle."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.class_sums(order)("text").alias("s"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.class_sums(order)("text").alias("s"))
     return docs.select("doc_id", F.slice("s", 1, 5).alias("n"), F.slice("s", 6, 5).alias("b"))
 
 

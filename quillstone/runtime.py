@@ -109,6 +109,12 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if size <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if it comes in fewer parts, as a small file does; larger tables stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """names, with underscores in front until no column of df has them."""
     taken, out = {c.lower() for c in df.columns}, []
