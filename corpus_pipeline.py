@@ -1,6 +1,11 @@
 """The corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, secret scans, packing.
 
 Every stage works on all rows that its predecessor kept, and each result is written as Parquet and read again.
+
+Defined cases: a null text counts as empty: it is never toxic, a copy, contaminated or secret, and packs as its end token;
+a null doc_id is kept (as a copy it sorts first); equal rows count once, since copies of a text leave one; further columns
+of documents, of any name, pass all stages but the last; empty tables give no rows; without labels or benchmark items
+their stages change nothing.
 """
 
 from __future__ import annotations
