@@ -51,8 +51,7 @@ def doc_structural_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block of 151 structural features of each document: one pass over its bytes, no shuffle."""
     ship(spark)
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    wide = d.mapInArrow(tx.features_of, "doc_id long, " + ", ".join(f"{c} double" for c in tx.FEATURES))
-    return wide.select("doc_id", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in tx.FEATURES])  # halves of the double, not of its digits, go up
+    return d.mapInArrow(tx.features_of, "doc_id long, " + ", ".join(f"{c} double" for c in tx.FEATURES))
 
 
 @query(
