@@ -62,7 +62,7 @@ def dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probability_trace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary probability traces written by each task and read again, without a warm-up (the cut is the feature)."""
     ship(spark)
-    magic, path = b"FX2NBP1\0", scratch_path(spark, "bit-trace")
+    magic, path = b"QSTRACE\0", scratch_path(spark, "bit-trace")
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS byte_pos", "int(l_quantity * 100) AS final_p", "int(l_linenumber * 7) AS boundary_p", "int(l_linenumber % 8) AS bit_index", "int(l_linenumber % 2) AS bit", "1 AS event", "int(l_suppkey % 9) AS terminator")
     tables.write_trace(rows, path, magic)
     return tables.read_trace(spark, path, magic, warmup=500)

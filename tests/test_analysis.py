@@ -156,8 +156,8 @@ def test_a_page_inside_another_is_an_error(spark, tmp_path):
 
 def test_traces_come_back(spark, tmp_path):
     rows = spark.createDataFrame([(k, k % 65536, 3, k % 8, k % 2, 1, k % 9) for k in range(5000)], tables.TRACE_SCHEMA).repartition(3)
-    tables.write_trace(rows, f"file://{tmp_path}/t", b"FX2NBP1\0")
-    got = tables.read_trace(spark, f"file://{tmp_path}/t", b"FX2NBP1\0", warmup=10)
+    tables.write_trace(rows, f"file://{tmp_path}/t", b"QSTRACE\0")
+    got = tables.read_trace(spark, f"file://{tmp_path}/t", b"QSTRACE\0", warmup=10)
     assert sorted(got.collect()) == sorted(rows.where("byte_pos >= 10").collect())
 
 
