@@ -166,8 +166,9 @@ class Centroids:
     def assign(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: its nearest centroid's, and those almost as near that aren't behind one taken already."""
         met, far = self.walk(x, BEAM, BOUNDARY)
-        out = []
-        for ids, d in zip(met, far, strict=True):
+        out = [v for v in met[:, :1]]  # most vectors lie near one centroid only
+        for row in np.flatnonzero((far[:, 1:2] <= far[:, :1] * BOUNDARY).any(1)).tolist():
+            ids, d = met[row], far[row]
             near = ids[: 4 * REPLICAS][d[: 4 * REPLICAS] <= d[0] * BOUNDARY]
             taken = [near[0]]
             for c, own in zip(near[1:], d[1:], strict=False):
@@ -175,7 +176,7 @@ class Centroids:
                     break
                 if all(((self.points[c] - self.points[t]) ** 2).sum() > own**2 / 4 for t in taken):
                     taken.append(c)
-            out.append(np.array(taken))
+            out[row] = np.array(taken)
         return out
 
     def probe(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
