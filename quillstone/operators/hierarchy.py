@@ -5,6 +5,8 @@ Ranks come from ordering.running(), so that no group, not even one that holds al
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from ..runtime import materialize, maybe_broadcast
 from . import ordering
 
 LEVELS = (4096, 512, 64)
+LOCAL = 16_384
 
 
 def _rank(rows: DataFrame, key) -> DataFrame:
@@ -53,10 +56,38 @@ def split(rows: DataFrame, iterations: int = 1) -> DataFrame:
     return out
 
 
-def hierarchical_order(vectors: DataFrame, levels: tuple[int, ...] = LEVELS, iterations: int = 2) -> DataFrame:
+def _halves(ids: np.ndarray, x: np.ndarray, left: int, iterations: int) -> np.ndarray:
+    """split() of one group that fits into a task: whether each row is left."""
+    axis = int(np.argmax(np.round(x.var(0), 9)))
+    ranked = np.lexsort((ids, x[:, axis]))
+    a, b = x[ranked[left // 2]], x[ranked[min(len(x) - 1, left + (len(x) - left) // 2)]]
+    for _ in range(max(1, iterations)):
+        gap = np.round(((x - a) ** 2).sum(1) - ((x - b) ** 2).sum(1), 9)
+        side = np.zeros(len(x), bool)
+        side[np.lexsort((ids, gap))[:left]] = True
+        a, b = x[side].mean(0), x[~side].mean(0)
+    return side
+
+
+def _leaves(group: str, ids: np.ndarray, x: np.ndarray, levels: tuple[int, ...], iterations: int) -> list[tuple[str, np.ndarray]]:
+    """The blocks below a group that fits into a task."""
+    done, todo = [], [(group, np.arange(len(ids)))]
+    while todo:
+        name, rows = todo.pop()
+        if len(rows) <= levels[-1]:
+            done.append((name, rows))
+            continue
+        size = next(s for s in levels if len(rows) > s)
+        side = _halves(ids[rows], x[rows], -(-len(rows) // size) // 2 * size, iterations)
+        todo += [(name + "0", rows[side]), (name + "1", rows[~side])]
+    return done
+
+
+def hierarchical_order(vectors: DataFrame, levels: tuple[int, ...] = LEVELS, iterations: int = 2, local: int = LOCAL) -> DataFrame:
     """id, block, rank (from 0): id, features split until blocks hold the last level's rows, leaves in order of id.
 
-    A group of n rows above a level's size goes into parts of whole blocks, floor(ceil(n / size) / 2) of them left.
+    A group of n rows above a level's size goes into parts of whole blocks, floor(ceil(n / size) / 2) of them left. Groups
+    of more than local rows are split by distributed ranks, all at once; smaller ones to the end, each in one task.
     """
     if any(a <= b or a % b for a, b in zip(levels, levels[1:], strict=False)):
         raise ValueError("levels must fall and divide one another")
@@ -64,17 +95,26 @@ def hierarchical_order(vectors: DataFrame, levels: tuple[int, ...] = LEVELS, ite
     done = None
     while True:
         sizes = materialize(rows.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+        top = max(local, levels[-1])
         size = F.lit(levels[-1])
         for s in reversed(levels):
             size = F.when(F.col("n") > s, s).otherwise(size)
-        left = F.when(F.col("n") > levels[-1], (F.floor(F.ceil(F.col("n") / size) / 2) * size).cast("long"))
+        left = F.when(F.col("n") > top, (F.floor(F.ceil(F.col("n") / size) / 2) * size).cast("long"))
         rows = rows.join(maybe_broadcast(sizes.select("group", left.alias("left")), sizes.count()), "group")
-        small = rows.where("left IS NULL").select("id", "group")
+        small = rows.where("left IS NULL").select("id", "group", "features")
         done = small if done is None else done.unionByName(small)
-        if sizes.where(F.col("n") > levels[-1]).isEmpty():
+        if sizes.where(F.col("n") > top).isEmpty():
             break
         halves = split(rows.where("left IS NOT NULL"), iterations)
         rows = halves.select("id", "features", F.concat("group", F.when(F.col("is_left"), "0").otherwise("1")).alias("group"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["id"].to_numpy()
+        parts = _leaves(group["group"].iloc[0], ids, np.stack(group["features"]).astype(float), levels, iterations)
+        return pd.concat([pd.DataFrame({"id": ids[rows], "group": name}) for name, rows in parts])
+
+    done = done.groupBy("group").applyInPandas(finish, f"id {kind}, group string")
     ranked = ordering.running(done.withColumn("_o", F.struct("group", "id")), "_o", {"rank": F.lit(1)})
     return ranked.select("id", F.col("group").alias("block"), (F.col("rank") - 1).alias("rank"))
 

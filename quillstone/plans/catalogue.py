@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import causal, control, hierarchy, ordering, vectors
+from ..operators import causal, control, ordering, vectors
 from ..runtime import maybe_broadcast, ship, spread, table
 from .registry import query
 
@@ -382,14 +382,6 @@ def feature_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("vec_id", _round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v), 4).alias("norm2"), _round(F.array_max("features")).alias("largest"))
 
 
-@query()
-def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two halves of equal size around two centres, seeded on the axis of the largest variance."""
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.lit("").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), F.lit(e.count() // 2).alias("left"))
-    return hierarchy.split(rows, 2).select(F.col("id").alias("vec_id"), "is_left")
-
-
 def _losses(order: int, places: int = 4) -> str:
     """Closed form over counts: a key that comes n times costs a sum of n logarithms, in whatever order they fall."""
     parts = ", ".join(f"unnest(b[{j + 1}:len(b) - {order - j}]) AS x{j}" for j in range(order + 1))

@@ -30,14 +30,17 @@ def hierarchical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DISTANCE = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
-@query(
+_SPLIT = (
     "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT count(*) AS n, count(*) // 2 AS h FROM e), "
     "a AS (SELECT d FROM (SELECT generate_subscripts(x, 1) AS d, unnest(x) AS v FROM e) GROUP BY d ORDER BY round(var_pop(v), 9) DESC, d LIMIT 1), "
     "r AS (SELECT vec_id, x, row_number() OVER (ORDER BY x[(SELECT d FROM a)], vec_id) - 1 AS r FROM e), "
     "c AS (SELECT (SELECT x FROM r, n WHERE r = h // 2) AS l, (SELECT x FROM r, n WHERE r = least(n - 1, h + (n - h) // 2)) AS m), "
     f"g AS (SELECT vec_id, round({_DISTANCE.format(a='x', b='l')} - {_DISTANCE.format(a='x', b='m')}, 9) AS gap FROM e, c) "
-    "SELECT vec_id, row_number() OVER (ORDER BY gap, vec_id) <= (SELECT h FROM n) AS is_left FROM g"
+    "s AS (SELECT vec_id, row_number() OVER (ORDER BY gap, vec_id) <= (SELECT h FROM n) AS is_left FROM g) "
 )
+
+
+@query(_SPLIT + "SELECT vec_id, is_left FROM s")
 def balanced_split_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One balanced split of all vectors into halves."""
     v = _vectors(spark, sf_dir)
@@ -45,6 +48,18 @@ def balanced_split_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.split(rows).select(F.col("id").alias("vec_id"), "is_left")
 
 
+@query(
+    _SPLIT.rstrip() + ", m AS MATERIALIZED (SELECT is_left, list(v ORDER BY d) AS x FROM (SELECT is_left, d, avg(v) AS v FROM (SELECT vec_id, generate_subscripts(x, 1) AS d, unnest(x) AS v FROM e) JOIN s USING (vec_id) GROUP BY ALL) GROUP BY is_left), "
+    f"g2 AS (SELECT vec_id, round({_DISTANCE.format(a='e.x', b='l.x')} - {_DISTANCE.format(a='e.x', b='r.x')}, 9) AS gap FROM e, (SELECT x FROM m WHERE is_left) AS l, (SELECT x FROM m WHERE NOT is_left) AS r) "
+    "SELECT vec_id, row_number() OVER (ORDER BY gap, vec_id) <= (SELECT h FROM n) AS is_left FROM g2"
+)
+def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of equal size around two centres, which move to the halves' means once."""
+    v = _vectors(spark, sf_dir)
+    rows = v.select(F.lit("").alias("group"), "id", "features", F.lit(v.count() // 2).cast("long").alias("left"))
+    return hierarchy.split(rows, 2).select(F.col("id").alias("vec_id"), "is_left")
+
+
 _ITERATION = (
     ", m{i} AS (SELECT cluster, round(avg(value), 9) AS centre FROM c{j} GROUP BY 1), k{i} AS (SELECT (centre + lead(centre) OVER (ORDER BY centre, cluster)) / 2 AS middle FROM m{i}), "
     "c{i} AS (SELECT vec_id, value, (SELECT count(*) FROM k{i} WHERE middle < value) AS cluster FROM c{j})"
