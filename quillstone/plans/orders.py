@@ -36,7 +36,7 @@ _SPLIT = (
     "r AS (SELECT vec_id, x, row_number() OVER (ORDER BY x[(SELECT d FROM a)], vec_id) - 1 AS r FROM e), "
     "c AS (SELECT (SELECT x FROM r, n WHERE r = h // 2) AS l, (SELECT x FROM r, n WHERE r = least(n - 1, h + (n - h) // 2)) AS m), "
     f"g AS (SELECT vec_id, round({_DISTANCE.format(a='x', b='l')} - {_DISTANCE.format(a='x', b='m')}, 9) AS gap FROM e, c) "
-    "s AS (SELECT vec_id, row_number() OVER (ORDER BY gap, vec_id) <= (SELECT h FROM n) AS is_left FROM g) "
+    ", s AS (SELECT vec_id, row_number() OVER (ORDER BY gap, vec_id) <= (SELECT h FROM n) AS is_left FROM g) "
 )
 
 
