@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import free_names, materialize, maybe_broadcast, ship
+from ..runtime import drop_scratch, free_names, materialize, maybe_broadcast, ship
 from .words import iter_words, mix, shingles
 from .workers import tidy
 
@@ -288,14 +288,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     now = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
     while True:
-        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("root").alias("m"))
-        step = now.join(near, now.node == near.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
+        near = both.join(now.select("node", "root"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
+        step = now.select("node", "root").join(near, F.col("node") == near.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         step = materialize(step, "roots")
         jump = step.select(F.col("node").alias("via"), F.col("root").alias("far"))
         new = materialize(step.join(jump, step.root == jump.via).select("node", "was", F.least("root", "far").alias("root")), "roots")
+        drop_scratch(step)
+        drop_scratch(now)
         if new.where(F.col("root") != F.col("was")).limit(1).count() == 0:
+            drop_scratch(both)
             return new.select("node", "root")
-        now = new.select("node", "root")
+        now = new
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -304,7 +307,9 @@ def _sets_of(docs: DataFrame, reps: DataFrame, rows: DataFrame, width: int) -> D
     wanted = materialize(wanted, "wanted")
     source = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     source = source.join(maybe_broadcast(wanted, wanted.count()), source.doc_id.eqNullSafe(F.col("w_id")) & (source.th == F.col("w_th")), "left_semi")
-    return materialize(_payload(source, width), "sets")
+    out = materialize(_payload(source, width), "sets")
+    drop_scratch(wanted)
+    return out
 
 
 def _cores(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -363,7 +368,9 @@ def _tasks(rows: DataFrame, depth: int, trees: int) -> DataFrame:
     dealt = dealt.withColumn("block", F.when(mine, F.pmod(h, F.col("inner"))).otherwise(F.col("inner") + F.pmod(h, F.col("outer"))).cast("int"))
     others = F.sequence(F.when(mine, F.col("inner")).otherwise(F.lit(0)), blocks - 1)
     pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")))
-    return materialize(dealt.select("*", F.explode(pairs).alias("task")).select("tree", "node", "task.one", "task.two", "block", "fp", "core", "copies", "label"), "tasks")
+    out = materialize(dealt.select("*", F.explode(pairs).alias("task")).select("tree", "node", "task.one", "task.two", "block", "fp", "core", "copies", "label"), "tasks")
+    drop_scratch(needed)
+    return out
 
 
 def _classes(docs: DataFrame, width: int, threshold: float, trees: int, recall: float) -> tuple[DataFrame, DataFrame, int]:
@@ -380,8 +387,10 @@ def _classes(docs: DataFrame, width: int, threshold: float, trees: int, recall:
     nodes = reps.select("fp", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("fp", "tree", _path(F.col("tree"), floor).alias("low"))
     full = materialize(nodes.groupBy("tree", "low").agg(F.count("*").alias("n")).where("n > 1").select("tree", "low"), "nodes")
     met = materialize(nodes.join(maybe_broadcast(full, full.count()), ["tree", "low"]).select("fp", "tree"), "met")
+    drop_scratch(full)
     rows = reps.select("fp", "copies", "size", "label").join(maybe_broadcast(met, met.count()), "fp").withColumn("path", _path(F.col("tree"), DEPTH))
     rows = materialize(rows.repartition("tree", F.substring("path", 1, 4 * floor)).sortWithinPartitions("tree", "path"), "tries")
+    drop_scratch(met)
     sets = _sets_of(docs, reps, rows, width)
     cores = _cores(rows, sets, num, den)
     n_cores = cores.count()
@@ -394,11 +403,13 @@ def _classes(docs: DataFrame, width: int, threshold: float, trees: int, recall:
         if n:
             links = materialize(_verify(sets.join(maybe_broadcast(tasks, n), "fp"), depth, num, den), "links")
             found.append(links)
+            drop_scratch(tasks)
             for r in links.where("bin is not null").groupBy("bin").agg(F.sum("links").alias("n")).collect():
                 bins[r.bin] = bins.get(r.bin, 0) + r.n
         if estimated_recall(bins, threshold, depth, trees) >= recall:
             break
 
+    drop_scratch(sets)
     sums = cores.join(reps.select("fp", "copies"), "fp")
     all_of = sums.groupBy("core").agg(F.sum("copies").alias("all"))
     parts = [sums.join(all_of, "core").select("fp", (F.col("all") - F.col("copies")).alias("links"))]
