@@ -36,8 +36,8 @@ from .workers import release, tidy
 SMOOTH = 0.5
 PAIR_SHARE = 0.75
 PRIOR = 1.0
-CHUNK_BYTES = 6 << 20
-PART_KEYS = 1_500_000
+CHUNK_BYTES = 4 << 20
+PART_KEYS = 1_000_000
 EDGE = np.uint64(0x5851F42D4C957F2D)
 _WORD, _FIRST, _SECOND = (np.uint64(c) for c in (0xD1342543DE82EF95, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 
