@@ -9,8 +9,9 @@ event under the target model less that under the background model: the lower, th
 
 Counts meet by key, never on the driver: documents are gathered in written chunks of bounded bytes; a chunk sends its
 different words and pairs, as sorted 64-bit keys with their counts, to parts of the key space; a part adds up and answers
-each chunk in the order of its keys; so a hot word is one key for each chunk. A part holds about PART_KEYS keys. Only
-three totals are global. Different words or pairs with equal 64-bit hashes would share counts.
+each chunk in the order of its keys; so a hot word is one key for each chunk. A part holds about PART_KEYS keys. Written
+chunks and answers are large rows, and a task holds a file's rows at once: files have about FILE_BYTES, however much of
+the table a task reads. Only three totals are global. Different words or pairs with equal 64-bit hashes would share counts.
 
 Defined cases: a document without words (null, empty) has 0 tokens and null losses and score; without other target
 documents the target model is uniform; several labels of one document count as good if one does; repeated rows each get
@@ -25,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ PAIR_SHARE = 0.75
 PRIOR = 1.0
 CHUNK_BYTES = 4 << 20
 PART_KEYS = 1_000_000
+FILE_BYTES = 16 << 20
 EDGE = np.uint64(0x5851F42D4C957F2D)
 _WORD, _FIRST, _SECOND = (np.uint64(c) for c in (0xD1342543DE82EF95, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 
@@ -90,7 +93,7 @@ def events(texts: pa.Array, target: np.ndarray) -> Events:
 
 
 def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """A written row for each chunk of about size bytes: chunk, doc_id, text and target arrays."""
+    """A written row for each chunk of about size bytes: chunk, bytes of its texts; doc_id, text and target arrays."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +103,8 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             whole = pa.Table.from_batches(waiting).combine_chunks()
             columns = {c: pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole.column(c).combine_chunks()) for c in whole.column_names}
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64())} | columns)
+            held_bytes = pc.sum(pc.binary_length(whole.column("text"))).as_py() or 0
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "bytes": pa.array([held_bytes], pa.int64())} | columns)
 
         for batch in batches:
             offsets, _ = buffers(batch.column("text"))
@@ -118,7 +122,8 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
         if waiting:
             yield emit()
 
-    return materialize(docs.select("doc_id", "text", "target").mapInArrow(tidy(run), f"chunk long, doc_id array<{kind}>, text array<string>, target array<boolean>"), "chunks")
+    rows = docs.select("doc_id", "text", "target").mapInArrow(tidy(run), f"chunk long, bytes long, doc_id array<{kind}>, text array<string>, target array<boolean>")
+    return materialize(rows, "chunks", file_rows=max(1, FILE_BYTES // size))
 
 
 def asked(chunks: DataFrame, parts: int) -> DataFrame:
@@ -189,10 +194,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = maybe_broadcast(good.select("doc_id", F.lit(True).alias("target")), good.count())
     rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     chunks = chunked(rows, CHUNK_BYTES)
-    size = chunks.select(F.sum(F.aggregate(F.transform("text", F.octet_length), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0)))).alias("b")).first().b or 0
-    parts = max(1, -(-size // (6 * PART_KEYS)))  # texts have about a key for each six bytes
+    held = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    parts = max(1, -(-held.bytes // (6 * PART_KEYS)))  # texts have about a key for each six bytes
     answers = asked(chunks, parts).groupBy("part").applyInArrow(_sum, "part int, chunk long, words long, n_all long, n_good long, all binary, good binary")
-    answers = materialize(answers, "answers")
+    answers = materialize(answers, "answers", file_rows=max(1, FILE_BYTES * held.n // (16 * PART_KEYS)))  # a row for each chunk and part, 16 bytes a key
     told = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n_all", "n_good")]).first()
     words, totals = told.words, [told.n_all, told.n_good]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -207,5 +212,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         release()
         return pa.table({"doc_id": ids, "n_tokens": pa.array(e.lengths), **{c: pa.array(x, from_pandas=True) for c, x in (("target_loss", t), ("background_loss", b), ("score", t - b))}})
 
-    both = chunks.groupBy("chunk").cogroup(answers.select("chunk", "part", "all", "good").groupBy("chunk"))
+    both = chunks.drop("bytes").groupBy("chunk").cogroup(answers.select("chunk", "part", "all", "good").groupBy("chunk"))
     return both.applyInArrow(finish, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")

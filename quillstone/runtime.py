@@ -73,11 +73,18 @@ def _clean() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def materialize(df: DataFrame, name: str, codec: str = "zstd", file_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    file_rows: rows a file at most. Parquet writes pages of 100 rows at least and reads 4,096 rows of a file at once, so
+    that rows of megabytes need it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    if file_rows:
+        writer = writer.option("maxRecordsPerFile", file_rows)
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
     return out

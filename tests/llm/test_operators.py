@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import runtime
 from quillstone.llm import ann, decontam, jaccard, lmscore, packing, secrets, sharding, toxicity, urlfilter, warc
 from quillstone.llm.queries import tokenizer_path
 from quillstone.llm.tokens import Encoder
@@ -492,6 +493,27 @@ def test_lm_scores_equal_a_plain_bigram_model(spark, texts, monkeypatch, small):
             assert got[i].score is None
 
 
+def test_lm_scores_write_files_of_bounded_bytes(spark, monkeypatch):
+    for name, value in (("CHUNK_BYTES", 2_000), ("PART_KEYS", 500), ("FILE_BYTES", 8_000)):
+        monkeypatch.setattr(lmscore, name, value, raising=False)
+    written = {}
+
+    def keep(df, name, *args, **options):
+        written[name] = runtime.materialize(df, name, *args, **options)
+        return written[name]
+
+    monkeypatch.setattr(lmscore, "materialize", keep)
+    rnd = random.Random(11)
+    docs = docs_of(spark, [" ".join(f"w{rnd.randrange(3_000)}" for _ in range(60)) for _ in range(400)]).coalesce(1)
+    got = lmscore.score(docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    assert got.where("n_tokens = 60").count() == 400
+    texts = written["chunks"].select(F.explode("text").alias("x"), F.col("_metadata.file_path").alias("file"))
+    answers = written["answers"].select(F.concat("all", "good").alias("x"), F.col("_metadata.file_path").alias("file"))
+    for rows in (texts, answers):
+        sizes = [r.b for r in rows.groupBy("file").agg(F.sum(F.octet_length("x")).alias("b")).collect()]
+        assert sum(sizes) > 100_000 and max(sizes) < 20_000
+
+
 def test_lm_scores_take_any_id_and_repeated_rows(spark):
     rows = [(i, t) for i, t in (("a", "one two three"), ("b", "one two four"), (None, "one two three"), ("a", "one two three"), ("", ""))]
     got = lmscore.score(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([], "doc_id string, quality int")).collect()
