@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coding, contexts
 from ..functions import text as tx
-from ..runtime import scratch_path, ship, table
+from ..runtime import scratch_path, ship, spread, table
 from ..streaming import adaptive
 from .catalogue import _losses
 from .registry import query
@@ -31,10 +31,9 @@ def mixture_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, strlen(text) AS text_bytes, md5(text) AS restored_md5 FROM documents")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the arithmetic coder and back; dealt out first, since a file is few tasks and coding is slow."""
-    ship(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", coding.packed(F.encode("text", "UTF-8")).alias("p"))
-    return d.select("doc_id", coding.unpacked("p").alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("text_bytes"), F.md5("t").alias("restored_md5"))
+    """Documents by the arithmetic coder and back."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", coding.packed(spark, F.col("text").cast("binary")).alias("p"))
+    return d.select("doc_id", coding.unpacked(spark, "p").alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("text_bytes"), F.md5("t").alias("restored_md5"))
 
 
 @query()
