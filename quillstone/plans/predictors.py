@@ -16,13 +16,13 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bits(spark: SparkSession, sf_dir: str, column) -> DataFrame:
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.round(column("text"), 3).alias("bits"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.round(column(spark, F.coalesce("text", F.lit("")).cast("binary")), 3).alias("bits"))
 
 
 @query()
 def context_mixing_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns under counters, runs and matches, mixed and refined bit by bit."""
-    return _bits(spark, sf_dir, predictor.mixing_bits)
+    return _bits(spark, sf_dir, lambda _, data: predictor.mixing_bits(data.cast("string")))
 
 
 @query()
@@ -34,4 +34,4 @@ def partial_match_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recurrent_model_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns under a recurrent model that learns as it reads."""
-    return _bits(spark, sf_dir, recurrent.recurrent_bits)
+    return _bits(spark, sf_dir, lambda _, data: recurrent.recurrent_bits(data.cast("string")))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions import coding
+from quillstone.functions import coding, predictor
 from quillstone.plans import QUERIES
 
 HARD = [b"", b"a", b"\0", b"\xff" * 3000, b"ab" * 400, bytes(range(256)) * 3, random.Random(1).randbytes(1500), b"the cat sat on the mat; the cat ate the rat. " * 12, "Ünï ÀÉ öß, İ naïve ".encode() * 20]
@@ -32,3 +32,7 @@ def test_packed_values(spark, tmp_path):
         assert r.x == r.y and (r.x is None or bytes(r.p) == len(r.x).to_bytes(4, "big") + coding.Coder.encode(bytes(r.x)))
     spark.createDataFrame([(1, "é" * 9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert "EvalPython" not in _plan(QUERIES["codec_roundtrip"](spark, str(tmp_path)))
+
+
+def test_partial_matching(spark):
+    _in_java(spark, predictor.matching_bits, predictor.PartialMatch.bits)
