@@ -36,3 +36,7 @@ def test_packed_values(spark, tmp_path):
 
 def test_partial_matching(spark):
     _in_java(spark, predictor.matching_bits, predictor.PartialMatch.bits)
+
+
+def test_context_mixing(spark):
+    _in_java(spark, predictor.mixing_bits, predictor.coded_bits)
