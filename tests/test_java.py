@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions import coding, predictor
+from quillstone.functions import coding, predictor, recurrent
 from quillstone.plans import QUERIES
 
 HARD = [b"", b"a", b"\0", b"\xff" * 3000, b"ab" * 400, bytes(range(256)) * 3, random.Random(1).randbytes(1500), b"the cat sat on the mat; the cat ate the rat. " * 12, "Ünï ÀÉ öß, İ naïve ".encode() * 20]
@@ -40,3 +40,7 @@ def test_partial_matching(spark):
 
 def test_context_mixing(spark):
     _in_java(spark, predictor.mixing_bits, predictor.coded_bits)
+
+
+def test_recurrent_model(spark):
+    _in_java(spark, recurrent.recurrent_bits, recurrent.Lstm.bits)
