@@ -13,32 +13,45 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship
 
 TAIL, PROBE = 16 * 1024, 4 * 1024
+BATCH_ROWS = 1 << 16
 
 
 _PAIRS = pa.array([f"{k:04X}" for k in range(1 << 16)])
 _ONES = pa.array([f"{k:02X}" for k in range(256)])
 
 
-def grams(docs: DataFrame, probe: int = PROBE, tail: int = TAIL) -> DataFrame:
-    """block, doc_id, kind (tail or probe), ctx, sym, n: trigram counts of the last and the first bytes; a text's are counted in place."""
+def grams(docs: DataFrame, probe: int = PROBE, tail: int = TAIL, kept: tuple[str, ...] = ("probe", "tail")) -> DataFrame:
+    """block, doc_id, kind (of those kept: tail or probe), ctx, sym, n: trigram counts of the last and the first bytes.
+
+    A text's are counted in place. A batch of 8 MB of short texts has some ten million of them, so they leave in batches
+    of their own, of BATCH_ROWS and what one text adds to them.
+    """
     ship(docs.sparkSession)
     some = docs.select("block", "doc_id", "text")
     kinds = {f.name: f.dataType.simpleString() for f in some.schema}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            sizes = [len(g) for _, _, g, _ in found]
+            at, gram = pa.array(np.repeat([r for r, *_ in found], sizes)), np.concatenate([g for _, _, g, _ in found])
+            return pa.RecordBatch.from_pydict({
+                "block": batch.column("block").take(at), "doc_id": batch.column("doc_id").take(at), "kind": pa.array(np.repeat([k for _, k, _, _ in found], sizes)),
+                "ctx": _PAIRS.take(pa.array(gram >> 8)), "sym": _ONES.take(pa.array(gram & 255)), "n": pa.array(np.concatenate([n for *_, n in found]))})
+
         for batch in batches:
-            found = []
+            found, held = [], 0
             for r, text in enumerate(batch.column("text")):
-                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8).astype(np.int64)
+                raw = (text.as_py() or "").encode()
                 for kind, part in (("probe", raw[:probe]), ("tail", raw[-tail:])):
-                    if len(part) > 2:
-                        found.append((r, kind, *np.unique(part[:-2] << 16 | part[1:-1] << 8 | part[2:], return_counts=True)))
+                    if kind in kept and len(part) > 2:
+                        b = np.frombuffer(part, np.uint8).astype(np.int64)
+                        found.append((r, kind, *np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:], return_counts=True)))
+                        held += len(found[-1][2])
+                if held >= BATCH_ROWS:
+                    yield rows()
+                    found, held = [], 0
             if found:
-                sizes = [len(g) for _, _, g, _ in found]
-                at, gram = pa.array(np.repeat([r for r, *_ in found], sizes)), np.concatenate([g for _, _, g, _ in found])
-                yield pa.RecordBatch.from_pydict({
-                    "block": batch.column("block").take(at), "doc_id": batch.column("doc_id").take(at), "kind": pa.array(np.repeat([k for _, k, _, _ in found], sizes)),
-                    "ctx": _PAIRS.take(pa.array(gram >> 8)), "sym": _ONES.take(pa.array(gram & 255)), "n": pa.array(np.concatenate([n for *_, n in found]))})
+                yield rows()
 
     return some.mapInArrow(count, f"block {kinds['block']}, doc_id {kinds['doc_id']}, kind string, ctx string, sym string, n long")
 

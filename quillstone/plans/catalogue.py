@@ -345,7 +345,7 @@ _EDGES = (
 
 @query(f"WITH {_GRAMS} o AS (SELECT 1) SELECT doc_id, ctx, sym, n FROM g WHERE kind = 'tail'")
 def trigram_tail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return causal.grams(table(spark, sf_dir, "documents").select(F.lit(0).alias("block"), "doc_id", "text")).where("kind = 'tail'").select("doc_id", "ctx", "sym", "n")
+    return causal.grams(table(spark, sf_dir, "documents").select(F.lit(0).alias("block"), "doc_id", "text"), kept=("tail",)).select("doc_id", "ctx", "sym", "n")
 
 
 @query(_EDGES + "SELECT source, target, round(bits, 5) AS bits FROM edges")

@@ -4,10 +4,13 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillstone.operators import hierarchy
+from quillstone.operators import causal, hierarchy
+from quillstone.plans import QUERIES
 from quillstone.plans.orders import blake_split, gzip_size
 from quillstone.runtime import ship
 from quillstone.streaming import adaptive
@@ -85,3 +88,30 @@ def test_stream_state_outlives_batches(spark, tmp_path):
         assert abs(got.pop(i) - (math.log2(sum(mine.values()) + 0.5 * (len(mine) + 1)) - math.log2(mine.get(s, 0) + 0.5))) < 1e-9
         mine[s] = mine.get(s, 0) + 1
     assert not got and spark.read.parquet(str(tmp_path / "out")).select(F.sum("bits")).first()[0] > 0
+
+
+def test_trigram_counts_leave_in_bounded_batches(spark, tmp_path):
+    texts = [np.random.default_rng(k).integers(97, 123, 9000, np.uint8).tobytes().decode() for k in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    grams = [len({t[k : k + 3] for k in range(len(t) - 2)}) for t in texts]
+    assert QUERIES["trigram_tail_counts"](spark, str(tmp_path)).count() == sum(grams) > 2 * causal.BATCH_ROWS
+    found = []
+    for batch in _counted(texts):
+        assert batch.num_rows < causal.BATCH_ROWS + 16 * 1024
+        found.append(batch.num_rows)
+    assert sum(found) == sum(grams)
+
+
+def _counted(texts):
+    """The batches of trigram counts of one batch of texts."""
+    taken = []
+
+    class Docs:
+        sparkSession, schema = None, StructType().add("block", "integer").add("doc_id", "long").add("text", "string")
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: taken.append(f)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(causal, "ship", lambda _: None)
+        causal.grams(Docs(), kept=("tail",))
+    return taken[0](iter([pa.RecordBatch.from_pydict({"block": [0] * len(texts), "doc_id": list(range(len(texts))), "text": texts})]))
