@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coding, spans, stemming
-from ..runtime import ship, table
+from ..runtime import ship, spread, table
 from ..sources import dumps
 from .catalogue import word_dictionary
 from .registry import query
@@ -14,14 +14,13 @@ from .registry import query
 # Word types that a paragraph's stream and the content stream leave out.
 NOT_PARAGRAPH = ("Conjunction", "Article", "Male", "Female", "Number", "ConjunctiveAdverb")
 NOT_CONTENT = (*NOT_PARAGRAPH, "Adposition", "AdverbOfManner")
-WORD = "'?[a-z][a-z'-]*"
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, after_the, n: how often each word comes, and whether right after `the`; neighbours meet before any shuffle."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    pairs = table(spark, sf_dir, "documents").select(found.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), ((i > 0) & (F.get("w", i - 1) == "the")).alias("after_the")))).alias("p"))
-    return pairs.groupBy("p.word", F.coalesce("p.after_the", F.lit(False)).alias("after_the")).agg(F.count("*").alias("n"))
+    """word, after_the, n: how often each word comes, and whether right after `the`; a text's words are counted in place."""
+    d = spread(table(spark, sf_dir, "documents").select("text"))
+    pairs = d.select(F.explode(stemming.word_counts(spark, F.lower("text").cast("binary"), marks=True)).alias("p"))
+    return pairs.groupBy("p.word", "p.after_the").agg(F.sum("p.n").alias("n"))
 
 
 def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Functions in Java against the Python that they stand for, on hard values; no byte of theirs passes a Python worker."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import coding, predictor, recurrent
-from quillstone.plans import QUERIES
+from quillstone.plans import QUERIES, language
 
 HARD = [b"", b"a", b"\0", b"\xff" * 3000, b"ab" * 400, bytes(range(256)) * 3, random.Random(1).randbytes(1500), b"the cat sat on the mat; the cat ate the rat. " * 12, "Ünï ÀÉ öß, İ naïve ".encode() * 20]
 
@@ -44,3 +46,16 @@ def test_context_mixing(spark):
 
 def test_recurrent_model(spark):
     _in_java(spark, recurrent.recurrent_bits, recurrent.Lstm.bits)
+
+
+WORDS = ["The dog's the-cat 'tis ''twas the the x the'", "", "the", "É the épée THE KELVIN İx the\nend", "a-b' -c 'd e''f- the 9the 'the g", None]
+
+
+def test_words_are_counted_in_their_texts(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(WORDS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = Counter()
+    for t in WORDS:
+        found = re.findall("'?[a-z][a-z'-]*", (t or "").lower())
+        expected.update((w, k > 0 and found[k - 1] == "the") for k, w in enumerate(found))
+    df = language.words(spark, str(tmp_path))
+    assert {(r.word, r.after_the): r.n for r in df.collect()} == expected and "regexp_extract_all" not in _plan(df)
