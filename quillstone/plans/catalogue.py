@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stemming
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import causal, control, ordering, vectors
@@ -217,7 +218,8 @@ _WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lowe
 @query(f"WITH w AS ({_WORDS}) SELECT word, n, idx, (CASE WHEN idx < 80 THEN 1 WHEN idx < 3920 THEN 2 WHEN idx < 44880 THEN 3 ELSE 0 END)::INT AS code_bytes FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS idx FROM w)")
 def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by frequency, their ranks and the length of their codes."""
-    w = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pairs = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(stemming.word_counts(spark, F.lower("text").cast("binary"), marks=False)).alias("p"))
+    w = pairs.groupBy("p.word").agg(F.sum("p.n").alias("n"))
     r = ordering.running(w.withColumn("o", F.struct((-F.col("n")).alias("m"), "word")), "o", {"k": F.lit(1)}).withColumn("idx", F.col("k") - 1)
     return r.select("word", "n", "idx", F.when(F.col("idx") < 80, 1).when(F.col("idx") < 3920, 2).when(F.col("idx") < 44880, 3).otherwise(0).alias("code_bytes"))
 

@@ -82,17 +82,15 @@ def dictionary(spark: SparkSession, sf_dir: str) -> list[str]:
 @query("SELECT doc_id, strlen(text) AS text_bytes, md5(text) AS restored_md5 FROM documents")
 def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts coded by the dictionary and restored."""
-    ship(spark)
     known = dictionary(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select("doc_id", coding.words_coded(F.col("text"), known).alias("c"))
-    return d.select("doc_id", coding.words_restored(F.col("c"), known).alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("text_bytes"), F.md5("t").alias("restored_md5"))
+    d = table(spark, sf_dir, "documents").select("doc_id", coding.words_coded(spark, F.col("text"), known).alias("c"))
+    return d.select("doc_id", coding.words_restored(spark, F.col("c"), known).alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("text_bytes"), F.md5("t").alias("restored_md5"))
 
 
 @query()
 def word_coding_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes before and after word coding; the code is kept if it saves 50 bytes or more."""
-    ship(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.length(coding.words_coded(F.col("text"), dictionary(spark, sf_dir))).cast("long").alias("coded_bytes"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.length(coding.words_coded(spark, F.col("text"), dictionary(spark, sf_dir))).cast("long").alias("coded_bytes"))
     return d.withColumn("kept", F.col("coded_bytes") <= F.col("text_bytes") - 50)
 
 

@@ -59,3 +59,14 @@ def test_words_are_counted_in_their_texts(spark, tmp_path):
         expected.update((w, k > 0 and found[k - 1] == "the") for k, w in enumerate(found))
     df = language.words(spark, str(tmp_path))
     assert {(r.word, r.after_the): r.n for r in df.collect()} == expected and "regexp_extract_all" not in _plan(df)
+
+
+def test_words_are_coded(spark, tmp_path):
+    known = ["the", "capital", "international", "abc", *(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4500))]
+    code, texts = coding.WordCode(known), ["The THE tHe", "internationally INTERNATIONALx xinternational", "é\x06\x07@\x0cABc A Ab wbbb Wzcb", "x" * 40 + "X" * 40 + "Xx", "", "waaA waga WABAa", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", coding.words_coded(spark, F.col("t"), known).alias("c")).select("*", coding.words_restored(spark, F.col("c"), known).alias("r"))
+    assert "EvalPython" not in _plan(df)
+    for r in df.collect():
+        assert r.r == r.t and (r.t is None or bytes(r.c) == code.encode(r.t.encode()))
+    spark.createDataFrame(list(enumerate(WORDS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.word: r.n for r in QUERIES["word_dictionary"](spark, str(tmp_path)).collect()} == Counter(w for t in WORDS for w in re.findall("[a-z]+", (t or "").lower()))
